@@ -1,8 +1,7 @@
 """Category encoders fitted on training rows.
 
 Codes follow the sorted order of the training values. Few categories become a literal map;
-many become a code table that is joined (broadcast only if its checked size allows), numbered
-without sorting the values in one task.
+many become a code table for `lookup_join`, numbered without sorting the values in one task.
 """
 
 from __future__ import annotations
@@ -14,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.operators.impute import fit_median, modes
+from cadastre.operators.joins import lookup_join
 from cadastre.operators.rows import TRAIN, where
 
 LITERAL_LIMIT = 256  # categories held as a literal map
-BROADCAST_ROWS = 100_000  # code table rows that may be broadcast
 SPLIT_POINTS = 255
 
 
@@ -71,17 +70,15 @@ class Ordinal:
     default: int
     table: Mapping[str, int] | None = None  # few categories
     codes: DataFrame | None = None  # many categories
-    broadcast: bool = False
 
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
         out = out or self.column
         if self.table is not None:
             code = F.element_at(_literal_map(self.table, "int"), text_value(self.column))
             return df.withColumn(out, F.coalesce(code, F.lit(self.default)))
-        codes = self.codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-        codes = F.broadcast(codes) if self.broadcast else codes
-        joined = df.withColumn("__key", text_value(self.column)).join(codes, F.col("__key") == F.col("__value"), "left")
-        return joined.withColumn(out, F.coalesce(F.col("__code"), F.lit(self.default))).drop("__key", "__value", "__code")
+        codes = self.codes.select(F.col("value").alias("__key"), F.col("code").alias("__code"))
+        joined = lookup_join(df.withColumn("__key", text_value(self.column)), codes, "__key")
+        return joined.withColumn(out, F.coalesce(F.col("__code"), F.lit(self.default))).drop("__key", "__code")
 
     def restore(self, df: DataFrame, code: str, out: str) -> DataFrame:
         """Code back to its category; unknown codes give NULL."""
@@ -90,8 +87,7 @@ class Ordinal:
             position = F.when(F.col(code) >= 0, F.col(code).cast("int") + 1)
             return df.withColumn(out, F.try_element_at(F.array(*[F.lit(n) for n in names]), position))
         codes = self.codes.select(F.col("value").alias(out), F.col("code").alias("__code"))
-        codes = F.broadcast(codes) if self.broadcast else codes
-        return df.join(codes, F.col(code).cast("int") == F.col("__code"), "left").drop("__code")
+        return lookup_join(df.withColumn("__code", F.col(code).cast("int")), codes, "__code").drop("__code")
 
 
 def fit_ordinal(
@@ -108,13 +104,11 @@ def fit_ordinal(
     train = where(df, fit_on)
     names = known_categories(train, column, literal_limit)
     table = codes = None
-    broadcast = False
     if names is not None:
         table = {v: i for i, v in enumerate(names)}
         code_of = table.get
     else:
         codes = numbered(categories(train, column))
-        broadcast = codes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
         def code_of(value, default=None):
             row = codes.filter(F.col("value") == F.lit(value)).first()
@@ -127,7 +121,7 @@ def fit_ordinal(
         default = 0 if top is None else code_of(top, 0)
     else:
         default = code_of("None", 0)
-    return Ordinal(column, default, table, codes, broadcast)
+    return Ordinal(column, default, table, codes)
 
 
 def fit_ordinals(df: DataFrame, columns: Sequence[str], unseen: str = "mode", fit_on: str | Column | None = TRAIN) -> dict[str, Ordinal]:
@@ -182,27 +176,23 @@ class Frequency:
     column: str
     table: Mapping[str, float] | None
     shares: DataFrame | None = None
-    broadcast: bool = False
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
         if self.table is not None:
             share = F.element_at(_literal_map(self.table, "double"), text_value(self.column)) if self.table else F.lit(None)
             return df.withColumn(out, F.coalesce(share.cast("double"), F.lit(0.0)))
-        shares = F.broadcast(self.shares) if self.broadcast else self.shares
-        joined = df.withColumn("__key", text_value(self.column)).join(shares, F.col("__key") == F.col("__value"), "left")
-        return joined.withColumn(out, F.coalesce(F.col("__share"), F.lit(0.0))).drop("__key", "__value", "__share")
+        joined = lookup_join(df.withColumn("__key", text_value(self.column)), self.shares, "__key")
+        return joined.withColumn(out, F.coalesce(F.col("__share"), F.lit(0.0))).drop("__key", "__share")
 
 
 def fit_frequency(df: DataFrame, column: str, fit_on: str | Column | None = TRAIN, literal_limit: int = LITERAL_LIMIT) -> Frequency:
     train = where(df, fit_on)
     total = train.count()
-    counted = train.groupBy(text_value(column).alias("__value")).agg(F.count("*").alias("n"))
+    counted = train.groupBy(text_value(column).alias("__key")).agg(F.count("*").alias("n"))
     rows = counted.limit(literal_limit + 1).collect()
     if len(rows) <= literal_limit:
-        return Frequency(column, {r["__value"]: r["n"] / total for r in rows})
-    shares = counted.select("__value", (F.col("n") / F.lit(total)).alias("__share"))
-    small = shares.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return Frequency(column, None, shares, small)
+        return Frequency(column, {r["__key"]: r["n"] / total for r in rows})
+    return Frequency(column, None, counted.select("__key", (F.col("n") / F.lit(total)).alias("__share")))
 
 
 def relative_frequency(df: DataFrame, column: str) -> DataFrame:
