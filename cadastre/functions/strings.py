@@ -18,8 +18,8 @@ CONTROL_CHARACTERS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 
 def title_case(c: str | Column) -> Column:
     """Trim, then upper-case the first letter after every non-letter (so "O'Neil", "Port-Phillip")."""
-    spaced = F.regexp_replace(F.lower(F.trim(col(c).cast("string"))), "([^\\p{L}]+)", "\u0001$1\u0001 ")
-    return F.regexp_replace(F.initcap(spaced), "\u0001 |\u0001", "")
+    spaced = F.regexp_replace(F.trim(col(c).cast("string")), "([^\\p{L}]+)", "$1\u0001 ")
+    return F.regexp_replace(F.initcap(spaced), "\u0001 ", "")
 
 
 def null_tokens(c: str | Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadastre.functions.numeric import finite_or, pick_number_columns, pick_text_columns
 from cadastre.operators.quantiles import median
 from cadastre.operators.rows import TRAIN, where
+from cadastre.session import materialize
 
 
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -142,7 +143,7 @@ def fit_tree(
     """
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    train = where(df, fit_on)
+    train = materialize(where(df, fit_on).select(*columns), "tree-fill")  # read once per fit, columns only
     medians = median(train, columns)
     row = train.agg(
         F.count("*").alias("n"), *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]

@@ -13,6 +13,7 @@ from cadastre.operators.impute import Fill, fit_median
 from cadastre.operators.joins import lookup_join
 from cadastre.operators.knn import Limits, knn_join
 from cadastre.operators.rows import TRAIN, where
+from cadastre.session import materialize
 
 
 @dataclass(frozen=True)
@@ -164,8 +165,13 @@ def neighbor_edges(
 ) -> DataFrame:
     """Edges from every row to its k nearest training rows in the given space.
 
-    One table serves all splits and all smaller k (`rank <= k`).
+    One table serves all splits and all smaller k (`rank <= k`). The columns of the space are
+    stored first, so that the fits and the search do not repeat the plan behind `df`.
     """
+    space = space.present(df)
+    used = dict.fromkeys([row_id, *(["split"] if "split" in df.columns else []), *space.numeric, *space.text, *space.stratify])
+    flagged = df.select(*[F.col(f"`{c}`") for c in used], F.expr(fit_on).alias("__fit"))
+    df, fit_on = materialize(flagged, "space"), "__fit"
     fitted = fit_space(df, space, fit_on)
     if fitted.space.stratify:
         return stratified_edges(df, k, fitted, row_id, fit_on, limits)

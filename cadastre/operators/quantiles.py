@@ -30,7 +30,12 @@ def exact_quantiles(
         return {}
     base = df.select(*[F.col(f"`{c}`").cast("double").alias(f"q{i}") for i, c in enumerate(wanted)])
     names = {c: f"q{i}" for i, c in enumerate(wanted)}
-    counts = base.agg(*[F.count(q).alias(q) for q in names.values()]).first()
+    margin = 2.0 / accuracy
+    guesses = [
+        F.percentile_approx(q, [edge for p in wanted[c] for edge in (max(p - margin, 0.0), min(p + margin, 1.0))], F.lit(accuracy)).alias("b" + q)
+        for c, q in names.items()
+    ]
+    counts = base.agg(*[F.count(q).alias(q) for q in names.values()], *guesses).first()
     out: dict[str, list[float | None]] = {}
     small = [c for c in wanted if counts[names[c]] <= small_rows]
     if small:
@@ -48,7 +53,8 @@ def exact_quantiles(
         for i, p in enumerate(wanted[c]):
             position = p * (n - 1)
             pending[(c, i)] = {"rank": math.floor(position), "fraction": position - math.floor(position),
-                               "low": None, "high": None, "size": n, "before": 0}
+                               "low": None, "high": None, "size": n, "before": 0,
+                               "guess": counts["b" + names[c]][2 * i : 2 * i + 2]}
 
     while pending:
         # 1. bracket every pending rank inside its current range
@@ -56,13 +62,20 @@ def exact_quantiles(
         brackets = []
         for j, (c, i) in enumerate(keys):
             t, q = pending[(c, i)], F.col(names[c])
+            if t["guess"] is not None:
+                continue
             if t["low"] is not None:
                 q = F.when((q >= t["low"]) & (q <= t["high"]), q)
             share = (t["rank"] - t["before"]) / max(t["size"] - 1, 1)
             margin = 2.0 / accuracy
             points = [max(share - margin, 0.0), min(share + margin, 1.0)]
             brackets.append(F.percentile_approx(q, points, F.lit(accuracy)).alias(f"b{j}"))
-        found = base.agg(*brackets).first()
+        row = base.agg(*brackets).first() if brackets else None
+        found = {}
+        for j, key in enumerate(keys):
+            guess = pending[key]["guess"]
+            found[f"b{j}"] = guess if guess is not None else row[f"b{j}"]
+            pending[key]["guess"] = None
         # 2. how many values lie below each bracket, and inside it
         checks = []
         for j, (c, _) in enumerate(keys):
