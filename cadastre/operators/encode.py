@@ -34,10 +34,27 @@ def categories(df: DataFrame, column: str) -> DataFrame:
     return df.select(text_value(column).alias("value")).distinct()
 
 
-def known_categories(df: DataFrame, column: str, limit: int = LITERAL_LIMIT) -> list[str] | None:
-    """Sorted categories, or None when there are more than `limit`."""
-    rows = categories(df, column).limit(limit + 1).collect()
-    return sorted(r["value"] for r in rows) if len(rows) <= limit else None
+def value_counts(df: DataFrame, columns: Sequence[str], limit: int = LITERAL_LIMIT) -> dict[str, dict[str, int] | None]:
+    """{column: {category: rows}} in sorted order, None for a column with more than `limit` categories.
+
+    One job for all columns; at most limit + 1 categories per column come back.
+    """
+    if not columns:
+        return {}
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), text_value(c).alias("v")) for c in columns])).alias("e")
+    ).select("e.c", "e.v")
+    counted = long.groupBy("c", "v").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("c").orderBy("v")
+    rows = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit + 1).collect()
+    found: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for r in sorted(rows, key=lambda r: r["v"]):
+        found[r["c"]][r["v"]] = r["n"]
+    return {c: counts if len(counts) <= limit else None for c, counts in found.items()}
+
+
+def most_frequent(counts: Mapping[str, int]) -> str | None:
+    return min(counts, key=lambda v: (-counts[v], v)) if counts else None
 
 
 def numbered(values: DataFrame) -> DataFrame:
@@ -74,6 +91,8 @@ class Ordinal:
     def apply(self, df: DataFrame, out: str | None = None) -> DataFrame:
         out = out or self.column
         if self.table is not None:
+            if not self.table:
+                return df.withColumn(out, F.lit(self.default))
             code = F.element_at(_literal_map(self.table, "int"), text_value(self.column))
             return df.withColumn(out, F.coalesce(code, F.lit(self.default)))
         codes = self.codes.select(F.col("value").alias("__key"), F.col("code").alias("__code"))
@@ -90,42 +109,47 @@ class Ordinal:
         return lookup_join(df.withColumn("__code", F.col(code).cast("int")), codes, "__code").drop("__code")
 
 
-def fit_ordinal(
+def fit_ordinals(
     df: DataFrame,
-    column: str,
+    columns: Sequence[str],
     unseen: str = "mode",
     fit_on: str | Column | None = TRAIN,
     literal_limit: int = LITERAL_LIMIT,
-) -> Ordinal:
+) -> dict[str, Ordinal]:
     """`unseen`: "mode" (most frequent training value), "none" ("None" if it is a class, else the
     first), "zero" ("None" if it is a class, else 0) or "minus_one"."""
     if unseen not in ("mode", "none", "zero", "minus_one"):
         raise ValueError(f"unknown rule for unseen values: {unseen!r}")
     train = where(df, fit_on)
-    names = known_categories(train, column, literal_limit)
-    table = codes = None
-    if names is not None:
-        table = {v: i for i, v in enumerate(names)}
-        code_of = table.get
-    else:
-        codes = numbered(categories(train, column))
-
-        def code_of(value, default=None):
-            row = codes.filter(F.col("value") == F.lit(value)).first()
-            return default if row is None else row["code"]
-
-    if unseen == "minus_one":
-        default = -1
-    elif unseen == "mode":
-        top = modes(train.select(text_value(column).alias(column)), [column])[column]
-        default = 0 if top is None else code_of(top, 0)
-    else:
-        default = code_of("None", 0)
-    return Ordinal(column, default, table, codes)
+    out = {}
+    for column, counts in value_counts(train, columns, literal_limit).items():
+        if counts is not None:
+            table, codes = {v: i for i, v in enumerate(counts)}, None
+            top, code_of = most_frequent(counts), table.get
+        else:
+            table, codes = None, numbered(categories(train, column))
+            top = modes(train.select(text_value(column).alias(column)), [column])[column] if unseen == "mode" else None
+
+            def code_of(value, default=0, codes=codes):
+                row = codes.filter(F.col("value") == F.lit(value)).first()
+                return default if row is None else row["code"]
+
+        if unseen == "minus_one":
+            default = -1
+        else:
+            default = code_of(top if unseen == "mode" else "None", 0) if top is not None or unseen != "mode" else 0
+        out[column] = Ordinal(column, default, table, codes)
+    return out
 
 
-def fit_ordinals(df: DataFrame, columns: Sequence[str], unseen: str = "mode", fit_on: str | Column | None = TRAIN) -> dict[str, Ordinal]:
-    return {c: fit_ordinal(df, c, unseen, fit_on) for c in columns}
+def fit_ordinal(
+    df: DataFrame,
+    column: str,
+    unseen: str = "mode",
+    fit_on: str | Column | None = TRAIN,
+    literal_limit: int = LITERAL_LIMIT,
+) -> Ordinal:
+    return fit_ordinals(df, [column], unseen, fit_on, literal_limit)[column]
 
 
 @dataclass(frozen=True)
@@ -148,13 +172,19 @@ class OneHot:
         return out.drop(self.column) if drop else out
 
 
-def fit_onehot(
-    df: DataFrame, column: str, fit_on: str | Column | None = TRAIN, max_columns: int = 2_000
-) -> OneHot:
-    names = known_categories(where(df, fit_on), column, max_columns)
-    if names is None:
-        raise ValueError(f"{column} has more than {max_columns} categories: use sparse_onehot or an ordinal code")
-    return OneHot(column, names)
+def fit_onehots(
+    df: DataFrame, columns: Sequence[str], fit_on: str | Column | None = TRAIN, max_columns: int = 2_000
+) -> list[OneHot]:
+    out = []
+    for column, counts in value_counts(where(df, fit_on), columns, max_columns).items():
+        if counts is None:
+            raise ValueError(f"{column} has more than {max_columns} categories: use sparse_onehot or an ordinal code")
+        out.append(OneHot(column, list(counts)))
+    return out
+
+
+def fit_onehot(df: DataFrame, column: str, fit_on: str | Column | None = TRAIN, max_columns: int = 2_000) -> OneHot:
+    return fit_onehots(df, [column], fit_on, max_columns)[0]
 
 
 def sparse_onehot(df: DataFrame, ordinal: Ordinal, out: str) -> DataFrame:
@@ -179,20 +209,23 @@ class Frequency:
 
     def apply(self, df: DataFrame, out: str) -> DataFrame:
         if self.table is not None:
-            share = F.element_at(_literal_map(self.table, "double"), text_value(self.column)) if self.table else F.lit(None)
-            return df.withColumn(out, F.coalesce(share.cast("double"), F.lit(0.0)))
+            if not self.table:
+                return df.withColumn(out, F.lit(0.0))
+            share = F.element_at(_literal_map(self.table, "double"), text_value(self.column))
+            return df.withColumn(out, F.coalesce(share, F.lit(0.0)))
         joined = lookup_join(df.withColumn("__key", text_value(self.column)), self.shares, "__key")
         return joined.withColumn(out, F.coalesce(F.col("__share"), F.lit(0.0))).drop("__key", "__share")
 
 
 def fit_frequency(df: DataFrame, column: str, fit_on: str | Column | None = TRAIN, literal_limit: int = LITERAL_LIMIT) -> Frequency:
     train = where(df, fit_on)
+    counts = value_counts(train, [column], literal_limit)[column]
+    if counts is not None:
+        total = sum(counts.values())
+        return Frequency(column, {v: n / total for v, n in counts.items()})
     total = train.count()
-    counted = train.groupBy(text_value(column).alias("__key")).agg(F.count("*").alias("n"))
-    rows = counted.limit(literal_limit + 1).collect()
-    if len(rows) <= literal_limit:
-        return Frequency(column, {r["__key"]: r["n"] / total for r in rows})
-    return Frequency(column, None, counted.select("__key", (F.col("n") / F.lit(total)).alias("__share")))
+    shares = train.groupBy(text_value(column).alias("__key")).agg((F.count("*") / F.lit(total)).alias("__share"))
+    return Frequency(column, None, shares)
 
 
 def relative_frequency(df: DataFrame, column: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre import kernels
-from cadastre.session import materialize
+from cadastre.session import materialize, small_table
 
 EDGES = "query_id bigint, neighbor_id bigint, distance double, rank int"
 
@@ -113,7 +113,7 @@ def _search(
             shape.append((*key, parts, salts))
     keys = ["stratum", "cell", "part", "salt"]
     if shape:
-        table = F.broadcast(spark.createDataFrame(shape, "stratum string, cell int, parts int, salts int"))
+        table = F.broadcast(small_table(spark, shape, "stratum string, cell int, parts int, salts int"))
         spread = lambda df: df.join(table, ["stratum", "cell"], "left").fillna(1, ["parts", "salts"])
         queries = (
             spread(queries)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastre.functions.numeric import clip, col
+from cadastre.functions.numeric import clip, clip_range, col
 from cadastre.operators.rows import valid_pairs
 
 
@@ -34,10 +34,10 @@ def rmsle(truth, pred, truth_floor: float = 0.0, pred_floor: float = 0.0, factor
     """Root mean squared error of log1p values.
 
     Variants: both floored at 0 (default), prediction floored at -1, or values times `factor`.
-    A prediction at exactly -1 has no logarithm and makes the result NaN-free NULL.
+    Pairs with a missing side, or a prediction of -1 (which has no logarithm), do not count.
     """
-    t = F.greatest(col(truth) * F.lit(factor), F.lit(truth_floor))
-    p = F.greatest(col(pred) * F.lit(factor), F.lit(pred_floor))
+    t = clip_range(col(truth) * F.lit(factor), truth_floor, None)
+    p = clip_range(col(pred) * F.lit(factor), pred_floor, None)
     gap = F.log1p(t) - F.log1p(p)
     return F.sqrt(F.avg(gap * gap))
 

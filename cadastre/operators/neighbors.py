@@ -97,7 +97,7 @@ def fit_space(df: DataFrame, space: SearchSpace, fit_on: str | Column | None = T
         unseen = "none" if space.category == "scaled" else "minus_one"
         ordinals = encode.fit_ordinals(train, space.text, unseen, None)
     elif space.category == "onehot":
-        others = [encode.fit_onehot(train, c, None) for c in space.text]
+        others = encode.fit_onehots(train, space.text, None)
     elif space.category == "frequency":
         others = [encode.fit_frequency(train, c, None) for c in space.text]
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.functions.numeric import is_finite, pick_number_columns, pick_text_columns  # noqa: F401
+from cadastre.session import small_table
 
 TRAIN = "split = 'train'"
 
@@ -138,6 +139,6 @@ def column_statistics(df: DataFrame, columns: Sequence[str], fit_on: str | Colum
     out = [
         (c, row[f"n{i}"], row[f"lo{i}"], *quartiles[c], row[f"hi{i}"], row[f"sk{i}"]) for i, c in enumerate(columns)
     ]
-    return df.sparkSession.createDataFrame(
-        out, "column string, n_filled bigint, low double, q25 double, mid double, q75 double, high double, skew double"
+    return small_table(
+        df.sparkSession, out, "column string, n_filled bigint, low double, q25 double, mid double, q75 double, high double, skew double"
     )

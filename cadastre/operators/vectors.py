@@ -20,17 +20,14 @@ def zero_vector(dims: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dims)
 
 
-def local_vector(text: str, dims: int) -> Column:
-    """Hashed term counts of a text as a float array, for texts no store knows.
+def add_local_vectors(df: DataFrame, text: str, dims: int, out: str) -> DataFrame:
+    """Hashed term counts of every text as a float array, for texts no store knows."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
 
-    Terms are counted into `dims` buckets with built-in functions only.
-    """
-    terms = F.filter(F.split(F.lower(F.col(text)), "\\W+"), lambda w: w != "")
-    buckets = F.transform(terms, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"),
-    )
+    terms = RegexTokenizer(inputCol="__text", outputCol="__terms", pattern="\\W+")
+    counts = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=dims)
+    ready = terms.transform(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))))
+    return counts.transform(ready).withColumn(out, vector_to_array("__counts", "float32")).drop("__text", "__terms", "__counts")
 
 
 def block_report(df: DataFrame, vector: str, by: str | None = None) -> DataFrame:
@@ -145,6 +142,6 @@ def fit_geo_clusters(df: DataFrame, columns: Sequence[str], k: int = 12, fit_on:
 
 
 __all__ = [
-    "block_report", "dimension", "fit_geo_clusters", "fit_pca", "fit_svd", "gram", "local_vector",
+    "add_local_vectors", "block_report", "dimension", "fit_geo_clusters", "fit_pca", "fit_svd", "gram",
     "to_columns", "vector_to_array", "zero_vector", "Reduction",
 ]

@@ -12,7 +12,7 @@ from cadastre.operators.split import hash_split
 from cadastre.plans.registry import query, r6, rounded, s6
 from cadastre.plans.search import _edges
 from cadastre.plans.views import parts, split_sql
-from cadastre.session import checkpoint_dir
+from cadastre.session import checkpoint_dir, materialize
 from cadastre.sources import vector_store
 from cadastre.sources.tabular import read_table
 
@@ -161,6 +161,7 @@ def fni_variants(spark, sf):
     df = parts(spark, sf)
     near = neighbors.neighbor_features(_edges(df), df, "row_id", ["size", "retail"]).withColumnRenamed("query_id", "row_id")
     df = df.join(near, "row_id", "left").fillna(0.0, ["rag_mean_size", "rag_mean_retail", "price"])
+    df = materialize(df, "neighbors")
     means = ["rag_mean_size", "rag_mean_retail"]
     df = scale.fit_standard(df, ["size", "retail", *means]).apply(df)
     dual, dual_names = interactions.interaction_variants(df, ["size", "retail"], means, "price", "fni_dual")

@@ -9,6 +9,7 @@ from cadastre.operators.knn import Limits, knn_join
 from cadastre.operators.neighbors import SearchSpace
 from cadastre.plans.registry import query, r6, rounded, s6
 from cadastre.plans.views import LISTING, PARTS, listing, medians_sql, parts
+from cadastre.session import materialize
 from cadastre.sources import tabular
 
 K = 8
@@ -173,7 +174,7 @@ FROM f LEFT JOIN c ON coalesce(f.kind, 'None') = c.kind""")
 def neighbor_encode(spark, sf):
     df = parts(spark, sf)
     near = neighbors.neighbor_features(_edges(df), df, "row_id", ["size"], ["kind"]).withColumnRenamed("query_id", "row_id")
-    features = df.select("row_id", "split").join(near, "row_id", "left")
+    features = materialize(df.select("row_id", "split").join(near, "row_id", "left"), "neighbors")
     fitted = encode.fit_neighbor_encoding(features, ["rag_mode_kind"], ["rag_mean_size"])
     return rounded(fitted.apply(features).drop("split"), "rag_mean_size")
 

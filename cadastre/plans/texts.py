@@ -84,7 +84,7 @@ def text_bands(spark, sf):
     return listing(spark, sf).select("row_id", text.alias("text"))
 
 
-MEANS_SQL = f"""{NEAR_SQL}, {mode_cte('kind')}, means AS (SELECT query_id, avg(size) AS size, avg(retail) AS retail FROM near GROUP BY query_id),
+MEANS_SQL = f"""{NEAR_SQL}, {mode_cte('kind')}, means AS (SELECT query_id, round(avg(size), 6) AS size, round(avg(retail), 6) AS retail FROM near GROUP BY query_id),
 j AS (SELECT p.row_id, p.size, p.retail, p.kind, m.size AS mean_size, m.retail AS mean_retail, k.kind AS mode_kind,
 'part ' || p.name || '.' AS base FROM parts p LEFT JOIN means m ON p.row_id = m.query_id LEFT JOIN mode_kind k ON p.row_id = k.query_id)"""
 
@@ -92,6 +92,7 @@ j AS (SELECT p.row_id, p.size, p.retail, p.kind, m.size AS mean_size, m.retail A
 def _with_means(spark, sf):
     df = parts(spark, sf)
     near = neighbors.neighbor_features(_edges(df), df, "row_id", ["size", "retail"], ["kind"]).withColumnRenamed("query_id", "row_id")
+    near = near.withColumns({c: F.round(c, 6) for c in ("rag_mean_size", "rag_mean_retail")})
     return df.join(near, "row_id", "left").withColumn("base", phrase("part ", F.col("name"), "."))
 
 

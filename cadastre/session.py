@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "cadastre") -> SparkSession:
@@ -51,3 +54,10 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "cadastre", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few driver rows as a local relation (no Python workers, known size)."""
+    fields = T._parse_datatype_string(schema).fields
+    arrays = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[f.name for f in fields]))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from cadastre.operators.joins import lookup_join
-from cadastre.operators.vectors import local_vector, zero_vector
+from cadastre.operators.vectors import add_local_vectors, zero_vector
+from cadastre.session import small_table
 
 MANIFEST = "name string, dims int, seed int, fingerprint string, path string, written double"
 
@@ -44,12 +45,13 @@ def complete(
 ) -> DataFrame:
     """A vector for every row: stored, else computed from its terms, else zeros."""
     found = hits(texts, store, model, text, dims)
-    made = local_vector(text, dims) if compute else F.lit(None).cast("array<float>")
-    filled = F.coalesce(F.col("vector"), F.when(F.length(F.trim(F.col(text))) > 0, made), zero_vector(dims))
-    source = F.when(F.col("vector").isNotNull(), "stored").when(
-        F.lit(compute) & (F.length(F.trim(F.col(text))) > 0), "computed"
-    ).otherwise("zero")
-    return found.withColumn("vector_source", source).withColumn("vector", filled)
+    usable = F.lit(compute) & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
+    made = F.lit(None).cast("array<float>")
+    if compute:
+        found, made = add_local_vectors(found, text, dims, "__made"), F.col("__made")
+    source = F.when(F.col("vector").isNotNull(), "stored").when(usable, "computed").otherwise("zero")
+    filled = F.coalesce(F.col("vector"), F.when(usable, made), zero_vector(dims))
+    return found.withColumn("vector_source", source).withColumn("vector", filled).drop("__made")
 
 
 def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,7 +70,7 @@ def _manifest(spark: SparkSession, root: str) -> DataFrame:
     try:
         return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
     except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
+        return small_table(spark, [], MANIFEST)
 
 
 def find_artifact(spark: SparkSession, root: str, name: str, dims: int, seed: int, digest: str) -> DataFrame | None:
@@ -90,5 +92,5 @@ def reuse_or_build(
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     build().write.parquet(path)
     row = [(name, dims, seed, digest, path, time.time())]
-    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    small_table(spark, row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return spark.read.parquet(path)
