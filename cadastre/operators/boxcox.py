@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadastre.functions.numeric import col
 from cadastre.operators.rows import TRAIN, where
+from cadastre.session import materialize
 
 
 def forward(x: str | Column, lam: float) -> Column:
@@ -87,7 +88,8 @@ def fit_boxcox(
     rounds: int = 5,
 ) -> BoxCox:
     """Grid, then zoom around the best point; a best point on the edge moves the grid instead."""
-    values, shift = _shifted(where(df, fit_on), column, None)
+    train = materialize(where(df, fit_on).select(F.col(f"`{column}`")), "boxcox")  # one narrow copy for all rounds
+    values, shift = _shifted(train, column, None)
     for _ in range(rounds):
         step = (high - low) / (points - 1)
         grid = [low + i * step for i in range(points)]

@@ -13,8 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 2_000_000
-FETCH_CAP = 200_000
+SMALL_ROWS = 50_000
+FETCH_CAP = 100_000
 
 
 def exact_quantiles(
@@ -76,33 +76,44 @@ def exact_quantiles(
             guess = pending[key]["guess"]
             found[f"b{j}"] = guess if guess is not None else row[f"b{j}"]
             pending[key]["guess"] = None
-        # 2. how many values lie below each bracket, and inside it
+        # 2. how many values lie below each bracket, inside it, and how many of those differ
         checks = []
         for j, (c, _) in enumerate(keys):
             q, (low, high) = F.col(names[c]), found[f"b{j}"]
-            checks += [F.count_if(q < low).alias(f"lt{j}"), F.count_if((q >= low) & (q <= high)).alias(f"in{j}")]
+            inside = (q >= low) & (q <= high)
+            checks += [
+                F.count_if(q < low).alias(f"lt{j}"), F.count_if(inside).alias(f"in{j}"),
+                F.approx_count_distinct(F.when(inside, q)).alias(f"d{j}"),
+            ]
         tally = base.agg(*checks).first()
         ready = []
         for j, key in enumerate(keys):
             t, (low, high) = pending[key], found[f"b{j}"]
             need = t["rank"] + (1 if t["fraction"] > 0 else 0)
-            if tally[f"lt{j}"] <= t["rank"] and need < tally[f"lt{j}"] + tally[f"in{j}"]:
-                t.update(low=low, high=high, before=tally[f"lt{j}"], size=tally[f"in{j}"])
+            if not (tally[f"lt{j}"] <= t["rank"] and need < tally[f"lt{j}"] + tally[f"in{j}"]):
+                accuracy = min(accuracy * 10, 1_000_000)  # the bracket missed a rank: finer sketches
+                continue
+            t.update(low=low, high=high, before=tally[f"lt{j}"], size=tally[f"in{j}"])
+            if low == high:
+                out[key[0]][key[1]] = low
+                del pending[key]
+            elif tally[f"d{j}"] <= fetch_cap:
                 ready.append((j, key))
-        if len(ready) < len(keys):
-            # the bracket missed a rank: ask for finer sketches
-            accuracy *= 10
-        # 3. fetch grouped values of the brackets that are small enough
+        if not ready:
+            continue
+        # 3. one job fetches the grouped values of all brackets that are small enough
+        picks = [
+            F.when((F.col(names[key[0]]) >= pending[key]["low"]) & (F.col(names[key[0]]) <= pending[key]["high"]),
+                   F.struct(F.lit(j).alias("j"), F.col(names[key[0]]).alias("v")))
+            for j, key in ready
+        ]
+        inside = base.select(F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p"))
+        grouped: dict[int, list] = {j: [] for j, _ in ready}
+        for r in inside.groupBy("p.j", "p.v").agg(F.count("*").alias("n")).collect():
+            grouped[r["j"]].append((r["v"], r["n"]))
         for j, key in ready:
-            t, q = pending[key], names[key[0]]
-            grouped = (
-                base.filter((F.col(q) >= t["low"]) & (F.col(q) <= t["high"]))
-                .groupBy(F.col(q).alias("v")).agg(F.count("*").alias("n")).limit(fetch_cap + 1).collect()
-            )
-            if len(grouped) > fetch_cap and t["low"] < t["high"]:
-                continue
-            seen, values = t["before"], {}
-            for v, n in sorted((r["v"], r["n"]) for r in grouped):
+            t, seen, values = pending[key], pending[key]["before"], {}
+            for v, n in sorted(grouped[j]):
                 for rank in (t["rank"], t["rank"] + 1):
                     if seen <= rank < seen + n:
                         values[rank] = v

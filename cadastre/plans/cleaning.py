@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadastre.functions import buckets, numeric, strings
 from cadastre.operators import impute, rows, split
 from cadastre.plans.registry import query, r6, rounded, s6
-from cadastre.plans.views import LISTING, NUMBERS, PARTS, TEXTS, listing, medians_sql, parts, split_sql, unit_sql
+from cadastre.plans.views import LISTING, NUMBERS, PARTS, TEXTS, listing, medians_sql, parts, split_sql, stored, unit_sql
 from cadastre.session import checkpoint_dir
 from cadastre.sources import tabular
 
@@ -185,7 +185,7 @@ def sweep_grid(spark, sf):
 @query("impute_median", f"WITH {LISTING}, {medians_sql(NUMBERS)} SELECT row_id, "
        + ", ".join(f"coalesce(l.{c}, m.{c}) AS {c}" for c in NUMBERS) + " FROM listing l, med m")
 def impute_median(spark, sf):
-    df = listing(spark, sf)
+    df = stored(listing(spark, sf), "row_id", "split", *NUMBERS)
     return impute.fit_median(df, NUMBERS).apply(df).select("row_id", *NUMBERS)
 
 
@@ -238,7 +238,7 @@ RATIOS = {"qty_per_line": ("sum_qty", "n_lines"), "gross_per_qty": ("gross", "su
        + ", ".join(f"coalesce(r.{n}, m.{n}) AS {n}" for n in RATIOS) + " FROM r, med m")
 def ratio_features(spark, sf):
     df = listing(spark, sf).withColumns({n: numeric.safe_ratio(a, b) for n, (a, b) in RATIOS.items()})
-    df = df.select("row_id", "split", *RATIOS)
+    df = stored(df, "row_id", "split", *RATIOS)
     return impute.fit_median(df, list(RATIOS)).apply(df).drop("split")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadastre.operators import boxcox, encode, rows, scale
 from cadastre.plans.registry import query, r6, rounded, s6
-from cadastre.plans.views import LISTING, NUMBERS, PARTS, listing, medians_sql, parts
+from cadastre.plans.views import LISTING, NUMBERS, PARTS, listing, medians_sql, parts, stored
 from cadastre.sources import tabular
 
 TRAINED = "(SELECT * FROM listing WHERE split = 'train')"
@@ -23,7 +23,8 @@ def fit_sql(columns, **aggs) -> str:
 {s6(f'quantile_cont({c}, 0.5)', 'mid')}, {s6(f'quantile_cont({c}, 0.75)', 'q75')}, max({c}) AS high,
 {s6(f'(SELECT avg(pow({c} - (SELECT avg({c}) FROM t), 3)) / pow(var_pop({c}), 1.5) FROM t)', 'skew')} FROM t""" for c in NUMBERS))
 def column_statistics(spark, sf):
-    return rounded(rows.column_statistics(listing(spark, sf), NUMBERS), "q25", "mid", "q75", "skew")
+    df = stored(listing(spark, sf), "split", *NUMBERS)
+    return rounded(rows.column_statistics(df, NUMBERS), "q25", "mid", "q75", "skew")
 
 
 @query("standardize", f"WITH {LISTING}, {fit_sql(NUMBERS, m='avg({})', s='stddev_pop({})')} SELECT row_id, "
@@ -45,7 +46,7 @@ def minmax(spark, sf):
 @query("robust", f"WITH {LISTING}, {fit_sql(NUMBERS, q1='quantile_cont({}, 0.25)', q2='quantile_cont({}, 0.5)', q3='quantile_cont({}, 0.75)')} SELECT row_id, "
        + ", ".join(s6(f"({c} - q2_{c}) / coalesce(nullif(q3_{c} - q1_{c}, 0), 1)", c, 9) for c in NUMBERS) + " FROM listing, fit")
 def robust(spark, sf):
-    df = listing(spark, sf)
+    df = stored(listing(spark, sf), "row_id", "split", *NUMBERS)
     return rounded(scale.fit_robust(df, NUMBERS).apply(df).select("row_id", *NUMBERS), *NUMBERS, digits=9)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastre.operators.split import hash_split
+from cadastre.session import materialize
 from cadastre.sources.tabular import read_table
 
 NUMBERS = ["n_lines", "sum_qty", "avg_disc", "sum_tax", "gross", "acctbal"]
@@ -63,6 +64,11 @@ def parts(spark: SparkSession, sf: str, seed: int = 42) -> DataFrame:
     return hash_split(out, "row_id", seed)
 
 
+def stored(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, stored once, for queries that fit before they apply."""
+    return materialize(df.select(*columns), "view")
+
+
 def unit_sql(key: str, seed: str = "42") -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
