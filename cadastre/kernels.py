@@ -32,6 +32,12 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0, out=d)
 
 
+def chunks(rows: np.ndarray, width: int):
+    """Row numbers in pieces whose distance matrix stays small."""
+    step = max(1, QUERY_CHUNK // max(width, 1))
+    return (rows[i : i + step] for i in range(0, len(rows), step))
+
+
 def top_k(q_id, q, c_id, c, k, exclude_self=True, decimals=9, limit=None):
     """Rows (query, neighbour, distance) of the k nearest candidates by (rounded distance, id).
 
@@ -103,12 +109,11 @@ def assign_cells(pivots: dict):
             cell = np.zeros(len(strata), dtype=np.int32)
             gap = np.zeros(len(strata))
             for name in {s for s in strata if s in pivots}:
-                at = np.nonzero(strata == name)[0]
-                d = squared_distances(vec[at], pivots[name])
-                best = d.argmin(1)
-                diff = vec[at] - pivots[name][best]
-                cell[at] = best
-                gap[at] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                for at in chunks(np.nonzero(strata == name)[0], len(pivots[name])):
+                    best = squared_distances(vec[at], pivots[name]).argmin(1)
+                    diff = vec[at] - pivots[name][best]
+                    cell[at] = best
+                    gap[at] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             yield pa.record_batch(
                 [batch.column("stratum"), pa.array(cell, pa.int32()), pa.array(gap, pa.float64()),
                  batch.column("id"), batch.column("vec")],
@@ -124,7 +129,6 @@ def route_queries(pivots: dict, inner: dict, outer: dict):
     A cell is skipped when its distance shell or the bisecting plane between its pivot and the
     home pivot puts every member past the query's current reach.
     """
-    between = {s: np.sqrt(squared_distances(p, p)) for s, p in pivots.items()}
 
     def run(batches):
         for batch in batches:
@@ -134,19 +138,19 @@ def route_queries(pivots: dict, inner: dict, outer: dict):
             reach = batch.column("reach").to_numpy(zero_copy_only=False)
             rows, cells = [], []
             for name in set(strata):
-                at = np.nonzero(strata == name)[0]
-                d2 = squared_distances(vec[at], pivots[name])
-                d = np.sqrt(d2)
-                low = np.maximum(d - outer[name], inner[name] - d)
-                apart = between[name][home[at]]
-                plane = (d2 - d2[np.arange(len(at)), home[at]][:, None]) / (2.0 * np.where(apart > 0, apart, np.inf))
-                low = np.maximum(low, plane)
-                slack = 1e-7 * (1.0 + d)
-                open_cells = low - slack <= reach[at][:, None]
-                open_cells[np.arange(len(at)), home[at]] = False
-                i, j = np.nonzero(open_cells)
-                rows.append(at[i])
-                cells.append(j)
+                for at in chunks(np.nonzero(strata == name)[0], len(pivots[name])):
+                    d2 = squared_distances(vec[at], pivots[name])
+                    d = np.sqrt(d2)
+                    low = np.maximum(d - outer[name], inner[name] - d)
+                    apart = np.sqrt(squared_distances(pivots[name][home[at]], pivots[name]))
+                    plane = (d2 - d2[np.arange(len(at)), home[at]][:, None]) / (2.0 * np.where(apart > 0, apart, np.inf))
+                    low = np.maximum(low, plane)
+                    slack = 1e-7 * (1.0 + d)
+                    open_cells = low - slack <= reach[at][:, None]
+                    open_cells[np.arange(len(at)), home[at]] = False
+                    i, j = np.nonzero(open_cells)
+                    rows.append(at[i])
+                    cells.append(j)
             rows = np.concatenate(rows) if rows else np.array([], "i8")
             cells = np.concatenate(cells) if cells else np.array([], "i8")
             for start in range(0, len(rows), 20_000):

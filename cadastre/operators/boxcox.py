@@ -38,10 +38,19 @@ def inverse(
     return out if floor is None else F.when(out.isNotNull(), F.greatest(out, F.lit(float(floor))))
 
 
-def log_likelihood(x: str | Column, lam: float) -> Column:
-    """Aggregate: (lam - 1) * sum(ln x) - n/2 * ln(variance of the transformed values)."""
-    x = col(x)
-    return F.lit(float(lam) - 1.0) * F.sum(F.ln(x)) - F.count(x) / F.lit(2.0) * F.ln(F.var_pop(forward(x, lam)))
+def scores(values: DataFrame, lambdas: Sequence[float]) -> DataFrame:
+    """(lam, llf) over a positive column `x`: (lam - 1) * sum(ln x) - n/2 * ln(variance of the moved x).
+
+    Every row is repeated per lambda inside the task and folded into one partial sum per lambda, so
+    the whole grid costs one scan, and the generated code is the same for every round.
+    """
+    x, lam = F.col("x"), F.col("lam")
+    grid = values.select("x", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])).alias("lam"))
+    moved = F.when(lam == 0, F.ln(x)).otherwise((F.pow(x, lam) - 1) / F.when(lam == 0, 1.0).otherwise(lam))
+    parts = grid.withColumn("moved", moved).groupBy("lam").agg(
+        F.sum(F.ln(x)).alias("logs"), F.count("*").alias("n"), F.var_pop("moved").alias("spread")
+    )
+    return parts.select("lam", ((lam - 1) * F.col("logs") - F.col("n") / 2 * F.ln("spread")).alias("llf"))
 
 
 def needed_shift(low: float | None) -> float:
@@ -65,10 +74,7 @@ class BoxCox:
 
 def likelihood_table(df: DataFrame, column: str, lambdas: Sequence[float], shift: float | None = None) -> DataFrame:
     """(lambda, llf) rows from a single aggregation over all the lambdas."""
-    values = _shifted(df, column, shift)[0]
-    row = values.agg(*[log_likelihood("x", lam).alias(f"l{i}") for i, lam in enumerate(lambdas)])
-    pairs = F.array(*[F.struct(F.lit(float(lam)).alias("lam"), F.col(f"l{i}").alias("llf")) for i, lam in enumerate(lambdas)])
-    return row.select(F.explode(pairs).alias("p")).select("p.lam", "p.llf")
+    return scores(_shifted(df, column, shift)[0], lambdas)
 
 
 def _shifted(df: DataFrame, column: str, shift: float | None) -> tuple[DataFrame, float]:
@@ -93,12 +99,12 @@ def fit_boxcox(
     for _ in range(rounds):
         step = (high - low) / (points - 1)
         grid = [low + i * step for i in range(points)]
-        row = values.agg(*[log_likelihood("x", lam).alias(f"l{i}") for i, lam in enumerate(grid)]).first()
-        scores = [row[f"l{i}"] if row[f"l{i}"] is not None else float("-inf") for i in range(points)]
-        best = max(range(points), key=scores.__getitem__)
+        found = {r["lam"]: r["llf"] for r in scores(values, grid).collect()}
+        llf = [found[lam] if found.get(lam) is not None else float("-inf") for lam in grid]
+        best = max(range(points), key=llf.__getitem__)
         centre = grid[best]
         if 0 < best < points - 1:
-            left, mid, right = scores[best - 1 : best + 2]
+            left, mid, right = llf[best - 1 : best + 2]
             bend = left - 2 * mid + right
             if bend < 0 and left != float("-inf") and right != float("-inf"):
                 centre += step * 0.5 * (left - right) / bend

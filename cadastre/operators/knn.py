@@ -5,9 +5,9 @@ nine decimals, id). The plan is a sequence of equi-joins between bounded blocks:
 
 1. Copies of one vector keep their k+1 smallest ids, all a rank can ever need, so a vector that
    fills a third of the table costs no more than any other.
-2. Candidates go to the cell of their nearest pivot (pivots: a bounded hash sample). Cells and
-   strata above `block_rows` are cut into sub-blocks, and crowded query sides are salted, so no
-   group that reaches Python outgrows a fixed number of rows.
+2. Candidates go to the cell of their nearest pivot (pivots: a bounded hash sample). Cells above
+   `block_rows` are cut into sub-blocks, and crowded query sides are salted, so no group that
+   reaches Python outgrows a fixed number of rows.
 3. Queries search their home cell first; the k-th distance found there closes all cells whose
    distance shell or bisecting plane lies past it, and only the open ones are searched.
 
@@ -32,10 +32,11 @@ EDGES = "query_id bigint, neighbor_id bigint, distance double, rank int"
 
 @dataclass(frozen=True)
 class Limits:
-    block_rows: int = 4096  # candidates per block
-    query_rows: int = 16384  # queries per block
-    max_pivots: int = 2048
-    pivot_from: int = 8  # blocks from which on cells are worth building
+    cell_rows: int = 1024  # candidates a cell aims at: decides the number of pivots
+    max_pivots: int = 8192
+    pivot_from: int = 8  # cells from which on pivots are worth it
+    block_rows: int = 32768  # most candidates in one block; fuller cells are cut
+    query_rows: int = 16384  # most queries in one block
 
 
 def unit_vector(vec: str | Column, side: str) -> Column:
@@ -67,11 +68,11 @@ def _first_copies(candidates: DataFrame, keep: int) -> DataFrame:
 
 def _pivots(candidates: DataFrame, large: dict[str, int], limits: Limits) -> dict[str, np.ndarray]:
     """A bounded hash sample of the large strata; their share of pivots follows their size."""
-    wanted = {s: n for s, n in large.items() if n > limits.pivot_from * limits.block_rows}
+    wanted = {s: n for s, n in large.items() if n > limits.pivot_from * limits.cell_rows}
     if not wanted:
         return {}
     total = sum(wanted.values())
-    budget = min(limits.max_pivots, max(1, total // limits.block_rows))
+    budget = min(limits.max_pivots, max(1, total // limits.cell_rows))
     rate = min(1.0, 2.0 * budget / total)
     resolution = 1 << 40
     rows = (
@@ -169,7 +170,7 @@ def knn_join(
     q = _prepare(queries, id_col, vec_col, by, metric, "query")
     c = _prepare(candidates, id_col, vec_col, by, metric, "candidate")
     total = c.count()
-    roof = max(limits.block_rows, math.ceil(total / limits.max_pivots))
+    roof = max(limits.pivot_from * limits.cell_rows, math.ceil(total / limits.max_pivots))
     if by:
         sizes = c.groupBy("stratum").agg(F.count("*").alias("n"))
         large = {r["stratum"]: r["n"] for r in sizes.filter(F.col("n") > roof).collect()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ SMALL_ROWS = 50_000
 FETCH_CAP = 100_000
 
 
+def _distinct(base: DataFrame, column: str, low: float, high: float) -> int:
+    q = F.col(column)
+    return base.filter((q >= low) & (q <= high)).agg(F.approx_count_distinct(q)).first()[0]
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
@@ -76,15 +82,11 @@ def exact_quantiles(
             guess = pending[key]["guess"]
             found[f"b{j}"] = guess if guess is not None else row[f"b{j}"]
             pending[key]["guess"] = None
-        # 2. how many values lie below each bracket, inside it, and how many of those differ
+        # 2. how many values lie below each bracket and inside it
         checks = []
         for j, (c, _) in enumerate(keys):
             q, (low, high) = F.col(names[c]), found[f"b{j}"]
-            inside = (q >= low) & (q <= high)
-            checks += [
-                F.count_if(q < low).alias(f"lt{j}"), F.count_if(inside).alias(f"in{j}"),
-                F.approx_count_distinct(F.when(inside, q)).alias(f"d{j}"),
-            ]
+            checks += [F.count_if(q < low).alias(f"lt{j}"), F.count_if((q >= low) & (q <= high)).alias(f"in{j}")]
         tally = base.agg(*checks).first()
         ready = []
         for j, key in enumerate(keys):
@@ -97,17 +99,16 @@ def exact_quantiles(
             if low == high:
                 out[key[0]][key[1]] = low
                 del pending[key]
-            elif tally[f"d{j}"] <= fetch_cap:
+            elif t["size"] <= fetch_cap or _distinct(base, names[key[0]], low, high) <= fetch_cap:
                 ready.append((j, key))
         if not ready:
             continue
         # 3. one job fetches the grouped values of all brackets that are small enough
-        picks = [
-            F.when((F.col(names[key[0]]) >= pending[key]["low"]) & (F.col(names[key[0]]) <= pending[key]["high"]),
-                   F.struct(F.lit(j).alias("j"), F.col(names[key[0]]).alias("v")))
-            for j, key in ready
-        ]
-        inside = base.select(F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p"))
+        within = {
+            j: (F.col(names[key[0]]) >= pending[key]["low"]) & (F.col(names[key[0]]) <= pending[key]["high"]) for j, key in ready
+        }
+        picks = [F.when(within[j], F.struct(F.lit(j).alias("j"), F.col(names[key[0]]).alias("v"))) for j, key in ready]
+        inside = base.filter(reduce(lambda a, b: a | b, within.values())).select(F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p"))
         grouped: dict[int, list] = {j: [] for j, _ in ready}
         for r in inside.groupBy("p.j", "p.v").agg(F.count("*").alias("n")).collect():
             grouped[r["j"]].append((r["v"], r["n"]))

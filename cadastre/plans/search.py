@@ -62,7 +62,7 @@ def knn_euclid(spark, sf):
 @query("knn_euclid_cells", f"WITH {PART_PTS}, {edges_sql(2)} SELECT {EDGE_COLUMNS} FROM edges")
 def knn_euclid_cells(spark, sf):
     """The same search through pivot cells, as larger tables run it."""
-    limits = Limits(block_rows=128, query_rows=512, pivot_from=2)
+    limits = Limits(cell_rows=128, block_rows=100, query_rows=512, pivot_from=2)
     return rounded(_edges(parts(spark, sf), limits=limits), "distance")
 
 
