@@ -62,7 +62,7 @@ def write_attribute_relation(df: DataFrame, path: str, relation: str = "table")
     quoted = {n for n, t in df.dtypes if t == "string"}
     cells = [
         F.when(F.col(f"`{n}`").isNull(), F.lit("?")).otherwise(
-            F.concat(F.lit("'"), F.regexp_replace(F.col(f"`{n}`"), "(['\\\\\\\\])", "\\\\\\\\$1"), F.lit("'"))
+            F.concat(F.lit("'"), F.regexp_replace(F.col(f"`{n}`"), "(['\\\\])", "\\\\$1"), F.lit("'"))
             if n in quoted else F.col(f"`{n}`").cast("string")
         )
         for n in df.columns
