@@ -52,6 +52,7 @@ class Recipe:
     ratios: Callable[[DataFrame], DataFrame] = lambda df: df  # derived columns that need a median fill
     ratio_columns: Sequence[str] = ()
     leaking: Sequence[str] = ()
+    key: str | None = None
     label: str = "log"  # "log" or "boxcox"
     target_scale: str | None = None  # size column the target is divided by
     error_factor: float = 1.0
@@ -64,10 +65,16 @@ class Recipe:
 def clean(recipe: Recipe, raw: DataFrame, seed: int = 42, ratio: float | None = None) -> DataFrame:
     """Deduplicated, keyed, split, filled and derived rows (stored once).
 
-    The key is a hash of the whole row, so it does not depend on row order.
+    Without a key column the key is a hash of the whole row, which does not depend on row order;
+    should two different rows ever share it, the run stops and asks for a key.
     """
     df = rows.dedup(recipe.prepare(numeric.nan_to_null(raw)))
-    df = df.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    if recipe.key and recipe.key in df.columns:
+        df = df.withColumn("row_id", F.col(recipe.key).cast("bigint"))
+    else:
+        df = materialize(df.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), "keyed")
+        if df.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+            raise ValueError("two rows share a hash: name a key column")
     if ratio is not None and ratio < 1:
         df = split.exact_sample(df, "row_id", ratio, seed=seed)
     df = materialize(split.hash_split(df, "row_id", seed), "raw")

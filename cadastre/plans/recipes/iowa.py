@@ -172,5 +172,5 @@ RECIPE = Recipe(
     templates={"structured": structured, "descriptive": descriptive, "narrative": descriptive, "compact_core": compact_core,
                "location_quality": location_quality, "size_age": size_age},
     neighbor_texts={"default": averages, "compare": compare, "delta": delta},
-    derive=derive, leaking=["Id"], target_scale="OverallQual_TotalSF",
+    derive=derive, key="Id", leaking=["Id"], target_scale="OverallQual_TotalSF",
 )

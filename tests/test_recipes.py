@@ -48,3 +48,48 @@ def test_iowa_texts_and_features(spark):
     assert show("structured", "compare") == base + " Compared to similar homes: area larger than neighbors, year built comparable to neighbors, kitchen quality consistent with majority of neighbors. (based on k=8 nearest neighbors)."
     assert show("structured", "delta") == base + " Relative to neighbors: area 300 sqft larger than neighbor mean, built 10 years earlier than neighbors, kitchen quality consistent with neighbors. (based on k=8 nearest neighbors)."
     assert show("size_age") == "Living area 1500 sqft. Basement 800 sqft. Floor split 900 + 600 sqft. Built 1950. Remodeled 1999. FullBath 2."
+
+
+def test_california_features_and_texts(spark):
+    data = [(-118.3 - i % 7, 34.0 + i % 5, float(5 + i % 50), 1000.0 + i, 200.0 + i % 30 if i % 9 else None, 500.0, float(i % 4 * 100), 2.0 + i % 9, 1e5 + 1000 * i, "NEAR BAY") for i in range(80)]
+    raw = spark.createDataFrame(data, ", ".join(f"{c} double" for c in recipes.california.RAW) + ", median_house_value double, ocean_proximity string")
+    df = recipes.clean(recipes.RECIPES["california"], raw)
+    rows = df.collect()
+    assert len(rows) == 80 and all(r["rooms_per_household"] is not None and 0 <= r["geo_cluster"] < 12 for r in rows)
+    recipe = recipes.RECIPES["california"]
+    shown = df.select(*[recipes.texts(recipe, df, t).alias(t) for t in recipe.templates]).collect()
+    assert all(v for r in shown for v in r)
+    assert shown[0]["structured_short_plus"].startswith("A census block in a near bay California area, geo cluster ")
+    assert "housing market." in shown[0]["structured_short_plus"] and shown[0]["bucket_only_semantic"].startswith("Near-bay California neighborhood, near bay market, ")
+
+
+def test_brazil_cleaning_and_texts(spark):
+    raw = spark.createDataFrame(
+        [("Campinas ", "-", "accept", "furnished", "70", 2.0, 1.0, 2.0, 400.0, 3000.0, 10.0, 20.0, 3400.0), ("Recife", "7", "not accept", "not furnished", "bad", None, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 900.0)] * 2,
+        "city string, floor string, animal string, furniture string, area string, rooms double, bathroom double, parking_spaces double, hoa double, rent_amount double, property_tax double, fire_insurance double, total double")
+    recipe = recipes.RECIPES["brazil"]
+    df = recipe.prepare(raw).dropDuplicates()
+    got = {r["city"]: r for r in df.collect()}
+    assert (got["Campinas"]["floor"], got["Campinas"]["floor_is_unknown"], got["Recife"]["area"]) == ("0", 1.0, None) and "hoa" not in df.columns
+    texts = {r["city"]: r for r in df.select("city", recipes.texts(recipe, df, "semantic").alias("s"), recipes.texts(recipe, df, "structured").alias("t")).collect()}
+    assert texts["Campinas"]["t"] == "Located in Campinas. floor: 0. animal policy: accept. furniture: furnished. area: 70 sqm. 2 rooms. 1 bathrooms. 2 parking spaces."
+    assert texts["Campinas"]["s"].endswith("costs: rent_band=unknown, hoa_band=unknown, property_tax=unknown, fire_insurance=unknown. signals: pet_friendly furnished_property multiple_parking.")
+
+
+def test_melbourne_texts(spark):
+    raw = spark.createDataFrame([("Abbotsford", "1 St", "h", "yarra", "Northern", "3/12/2016", 2.0, 2.0, 1.0, 1.0, 500.0, 150.0, 1990.0, 2.5)],
+        "Suburb string, Address string, Type string, CouncilArea string, Regionname string, Date string, Rooms double, Bedroom2 double, Bathroom double, Car double, Landsize double, BuildingArea double, YearBuilt double, Distance double")
+    recipe = recipes.RECIPES["melbourne"]
+    df = recipe.prepare(raw)
+    assert (df.first()["SaleYear"], df.first()["SaleWeekday"]) == (2016.0, 5.0) and "Address" not in df.columns
+    means = {"rag_mean_BuildingArea": 100.0, "rag_mean_Landsize": 500.0, "rag_mean_YearBuilt": 1930.0}
+    from pyspark.sql import functions as F
+
+    df = df.withColumns({n: F.lit(v) for n, v in means.items()}).withColumn("rag_mode_CouncilArea", F.lit("Yarra"))
+    text = df.select(recipes.texts(recipe, df, "semantic", "default", 12).alias("t")).first()["t"]
+    assert text == (
+        "A detached house in Abbotsford, Northern, council area Yarra. This is a medium-sized dwelling with 2 rooms, 2 bedrooms, 1 bathrooms. "
+        "Located in the inner, built as a moderately aged home. Sits on a moderate land parcel. Neighborhood context: Similar nearby homes are typically medium-sized dwellings. "
+        "The neighborhood is characterized by moderate land parcel. Nearby properties are generally older housing stock. "
+        "Neighboring properties are usually located in the same council area. This home is larger than nearby properties. "
+        "Lot size is in line with the neighborhood. (based on 12 nearest neighbors).")
