@@ -34,7 +34,7 @@ EDGES = "query_id bigint, neighbor_id bigint, distance double, rank int"
 class Limits:
     cell_rows: int = 1024  # candidates a cell aims at: decides the number of pivots
     max_pivots: int = 8192
-    pivot_from: int = 8  # cells from which on pivots are worth it
+    pivot_from: int = 32  # cells from which on pivots are worth it
     block_rows: int = 32768  # most candidates in one block; fuller cells are cut
     query_rows: int = 16384  # most queries in one block
 

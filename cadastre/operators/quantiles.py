@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,14 +103,22 @@ def exact_quantiles(
         if not ready:
             continue
         # 3. one job fetches the grouped values of all brackets that are small enough
-        within = {
-            j: (F.col(names[key[0]]) >= pending[key]["low"]) & (F.col(names[key[0]]) <= pending[key]["high"]) for j, key in ready
+        # (column number, value) rows against a literal table of brackets: small generated code
+        position = {q: i for i, q in enumerate(names.values())}
+        table: list[list[tuple[float, float]]] = [[] for _ in position]
+        for _, key in ready:
+            table[position[names[key[0]]]].append((pending[key]["low"], pending[key]["high"]))
+        limits = F.array(*[
+            F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in spans or [(1.0, 0.0)]]) for spans in table
+        ])
+        long = base.select(F.posexplode(F.array(*[F.col(q) for q in position])).alias("i", "v"))
+        inside = long.filter(F.exists(limits[F.col("i")], lambda b: (F.col("v") >= b["low"]) & (F.col("v") <= b["high"])))
+        fetched: dict[int, list] = {}
+        for r in inside.groupBy("i", "v").agg(F.count("*").alias("n")).collect():
+            fetched.setdefault(r["i"], []).append((r["v"], r["n"]))
+        grouped = {
+            j: [(v, n) for v, n in fetched.get(position[names[key[0]]], []) if pending[key]["low"] <= v <= pending[key]["high"]] for j, key in ready
         }
-        picks = [F.when(within[j], F.struct(F.lit(j).alias("j"), F.col(names[key[0]]).alias("v"))) for j, key in ready]
-        inside = base.filter(reduce(lambda a, b: a | b, within.values())).select(F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p"))
-        grouped: dict[int, list] = {j: [] for j, _ in ready}
-        for r in inside.groupBy("p.j", "p.v").agg(F.count("*").alias("n")).collect():
-            grouped[r["j"]].append((r["v"], r["n"]))
         for j, key in ready:
             t, seen, values = pending[key], pending[key]["before"], {}
             for v, n in sorted(grouped[j]):
