@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadastre.operators import boxcox, encode, rows, scale
 from cadastre.plans.registry import query, r6, rounded, s6
-from cadastre.plans.views import LISTING, NUMBERS, PARTS, listing, medians_sql, parts, stored
+from cadastre.plans.views import LISTING, NUMBERS, PARTS, listing, medians_sql, stored
 from cadastre.sources import tabular
 
 TRAINED = "(SELECT * FROM listing WHERE split = 'train')"
