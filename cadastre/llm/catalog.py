@@ -1,16 +1,20 @@
 """Registered corpus queries and the SQL of those that SQL can express."""
 
-from cadastre.llm import language, packing, quality_model, quality_rules, sharding, url_filter
+from cadastre.llm import decontaminate, language, license_scan, packing, quality_model, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_host_reputation": url_filter.op1_host_reputation,
     "op3_word_backoff": language.op3_word_backoff,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
+    "op5_spaced_seeds": decontaminate.op5_spaced_seeds,
     "op6_adaptive_rules": quality_rules.op6_adaptive_rules,
     "op7_fourier_ridge": quality_model.op7_fourier_ridge,
+    "op8_window_minhash": license_scan.op8_window_minhash,
     "op10_sampled_splitters": sharding.op10_sampled_splitters,
 }
 ORACLES = {
     "op1_host_reputation": url_filter.SQL,
+    "op5_spaced_seeds": decontaminate.SQL,
     "op6_adaptive_rules": quality_rules.SQL,
+    "op8_window_minhash": license_scan.SQL,
 }
