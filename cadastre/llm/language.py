@@ -134,7 +134,9 @@ def language_of(model: LanguageModel, spark) -> callable:
                     kinds = set(some)
                     if len(rows) + len(kinds) > CACHE:
                         rows = {}
-                    for w in kinds - rows.keys():
+                    for w in kinds:
+                        if w in rows:
+                            continue
                         one = fitted.word(w)
                         values[len(rows)] = 0
                         if one is not None:
