@@ -1,9 +1,10 @@
 """Registered corpus queries and the SQL of those that SQL can express."""
 
-from cadastre.llm import decontaminate, language, license_scan, packing, quality_model, quality_rules, sharding, url_filter
+from cadastre.llm import decontaminate, language, license_scan, packing, quality_model, quality_rules, set_join, sharding, url_filter
 
 QUERIES = {
     "op1_host_reputation": url_filter.op1_host_reputation,
+    "op2_set_relations": set_join.op2_set_relations,
     "op3_word_backoff": language.op3_word_backoff,
     "op4_concatenate_and_cut": packing.op4_concatenate_and_cut,
     "op5_spaced_seeds": decontaminate.op5_spaced_seeds,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_host_reputation": url_filter.SQL,
+    "op2_set_relations": set_join.SQL,
     "op5_spaced_seeds": decontaminate.SQL,
     "op6_adaptive_rules": quality_rules.SQL,
     "op8_window_minhash": license_scan.SQL,
