@@ -12,7 +12,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.taskcontext import TaskContext
 from cadastre.llm.text import table
 from cadastre.session import materialize
 
-CACHE = 300_000  # chunks of text whose ids a task keeps, twice
+CACHE = 150_000  # chunks of text whose ids a task keeps, twice; some 200 bytes each
 BLANKS = re.compile("[ \n]+")
 
 
@@ -39,10 +38,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [BLANKS.split(t) for t in texts]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
@@ -55,8 +54,8 @@ class ChunkEncoder:
                 else:
                     missing.append(chunk)
         for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            young[chunk] = found.ids
-        return [list(chain.from_iterable(map(young.__getitem__, parts))) for parts in split]
+            young[chunk] = np.array(found.ids, np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(young.__getitem__, parts)), np.int32) for parts in split]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -65,9 +64,9 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [np.array([*x, end_id], np.int32) for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                ids = [np.append(x, np.int32(end_id)) for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
                 sizes = np.array([len(x) for x in ids])
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
