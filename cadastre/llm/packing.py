@@ -8,13 +8,16 @@ record for each window it reaches. Only the last window of all is not full, so p
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,24 +26,55 @@ from pyspark.taskcontext import TaskContext
 from cadastre.llm.text import table
 from cadastre.session import materialize
 
-CACHE = 150_000  # chunks of text whose ids a task keeps, twice; some 200 bytes each
+CACHE = 300_000  # chunks of text whose ids a worker keeps, twice; some 200 bytes each
 BLANKS = re.compile("[ \n]+")
+PLAIN = re.compile("(?!.*<[|])[\x21-\x7e\xc0-\xff]+")
 
 
 class ChunkEncoder:
-    """Ids of texts by a tokenizer whose pre-tokens never span a blank: chunks between blanks are encoded once and kept.
+    """Ids of texts by a word-end BPE tokenizer, whose pre-tokens never span a blank: chunks between blanks are encoded once and kept.
 
-    Two generations bound the memory: a full one becomes the old one, out of which chunks in use are taken over.
+    Chunks of ASCII and Latin-1 letters, lower-cased and cut by the tokenizer's own pattern, go to its model many at a
+    time; any other chunk goes through the whole tokenizer. Two generations bound the memory: a full one becomes the
+    old one, out of which chunks in use are taken over.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        self.pattern = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        vocabulary = given["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(given["model"]["end_of_word_suffix"])]] = True
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        shown = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        lines = [" ".join(shown[i : i + 200]) for i in range(0, len(shown), 200)]
+        found = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
+
+    def _encode_chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        plain = {c: self.pattern.findall(c.lower()) for c in chunks if PLAIN.fullmatch(c)}
+        words = self._encode_words(list({w for parts in plain.values() for w in parts}))
+        for chunk, parts in plain.items():
+            yield chunk, b"".join([words[w] for w in parts])
+        rest = [c for c in chunks if c not in plain]
+        for chunk, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            yield chunk, np.array(found.ids, np.int32).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [BLANKS.split(t) for t in texts]
         if len(self.young) > CACHE:
@@ -53,16 +87,21 @@ class ChunkEncoder:
                     young[chunk] = ids
                 else:
                     missing.append(chunk)
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            young[chunk] = np.array(found.ids, np.int32).tobytes()
+        young.update(self._encode_chunks(missing))
         return [np.frombuffer(b"".join(map(young.__getitem__, parts)), np.int32) for parts in split]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One for each worker process, whichever tasks it runs."""
+    return ChunkEncoder(path)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """(key, ids, part, first): the ids of each text and `end_id`, the writing partition and the tokens before it there."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, first = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, first = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
