@@ -1,6 +1,6 @@
 """Registered corpus queries and the SQL of those that SQL can express."""
 
-from cadastre.llm import decontaminate, language, license_scan, packing, quality_model, quality_rules, set_join, sharding, url_filter
+from cadastre.llm import decontaminate, language, license_scan, packing, passages, quality_model, quality_rules, set_join, sharding, url_filter
 
 QUERIES = {
     "op1_host_reputation": url_filter.op1_host_reputation,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_adaptive_rules": quality_rules.op6_adaptive_rules,
     "op7_fourier_ridge": quality_model.op7_fourier_ridge,
     "op8_window_minhash": license_scan.op8_window_minhash,
+    "op9_compact_windows": passages.op9_compact_windows,
     "op10_sampled_splitters": sharding.op10_sampled_splitters,
 }
 ORACLES = {
