@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,30 +35,66 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder named by the cluster; a temporary one only for a local master (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="cadastre-ckpt-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
 
+_owner: ContextVar[str] = ContextVar("owner", default="session")
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Used where several later stages read the same intermediate: the lineage is cut, the
-    result survives the loss of any executor, and the optimizer sees real sizes.
+    result survives the loss of any executor, and the optimizer sees real sizes. The folder stays
+    until its owner drops it (see `owner` and `scratch`).
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "cadastre", f"{label}-{uuid.uuid4().hex}")
+    _written.setdefault(_owner.get(), []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def owner(name: str) -> Iterator[None]:
+    """What is materialised inside belongs to `name`, until `drop_materialized(name)`."""
+    before = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
+
+
+def drop_materialized(spark: SparkSession, name: str) -> None:
+    """Delete the folders that `name` owns; frames that still read them fail afterwards."""
+    for path in _written.pop(name, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders materialised inside are deleted at the end: collect or write the results before."""
+    name = uuid.uuid4().hex
+    try:
+        with owner(name):
+            yield
+    finally:
+        drop_materialized(spark, name)
+
+
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A few driver rows as a local relation (no Python workers, known size)."""
     fields = T._parse_datatype_string(schema).fields
