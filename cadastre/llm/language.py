@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +27,34 @@ from cadastre.llm.text import crc_fold, table
 
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 200_000  # words whose scores a task keeps at once
+CACHE = 500_000  # words whose scores a worker keeps at once
 PENALTY = 7.0  # of a feature that a language lacks, as -log10 of a frequency
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages; (number of characters, 0 for words) -> feature -> row of `scores` (features x languages)."""
+    """languages; number of characters (0 for words) -> feature -> its score in each language. `kept` holds the scores of the words that one worker has met."""
 
     languages: list[str]
-    tables: dict[int, dict[str, int]]
-    scores: np.ndarray
-
-    def word(self, word: str) -> np.ndarray | None:
-        row = self.tables[0].get(word)
-        if row is not None:
-            return self.scores[row]
+    tables: dict[int, dict[str, tuple[float, ...]]]
+    kept: dict = field(default_factory=dict)
+
+    def memory(self) -> tuple[dict[str, int], np.ndarray]:
+        """Words and their rows in a table of scores, the last column telling whether anything is known of the word."""
+        if not self.kept:
+            self.kept.update(rows={}, values=np.zeros((CACHE + 1, len(self.languages) + 1)))
+        return self.kept["rows"], self.kept["values"]
+
+    def word(self, word: str) -> tuple[float, ...] | list[float] | None:
+        own = self.tables[0].get(word)
+        if own is not None:
+            return own
         padded = f" {word} "
         for n in range(LONGEST, 0, -1):
             known = self.tables[n]
-            rows = [r for i in range(len(padded) - n + 1) if (r := known.get(padded[i : i + n])) is not None]
-            if rows:
-                return self.scores[rows].mean(axis=0)
+            found = [s for i in range(len(padded) - n + 1) if (s := known.get(padded[i : i + n])) is not None]
+            if found:
+                return [sum(one) / len(found) for one in zip(*found)]
         return None
 
 
@@ -93,16 +100,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         for size in range(1, LONGEST + 1):
             for i in range(len(padded) - size + 1):
                 add(size, padded[i : i + size], at[lang], n)
-    tables, blocks, start = {}, [], 0
+    tables: dict[int, dict[str, tuple[float, ...]]] = {}
     for n, known in features.items():
         kept = {f: row for f, row in known.items() if sum(row) >= least_count}
-        tables[n] = {f: start + i for i, f in enumerate(kept)}
-        start += len(kept)
-        if kept:
-            block = np.array(list(kept.values()), float)
-            share = block / np.maximum(1, block.sum(axis=0))
-            blocks.append(np.where(block > 0, -np.log10(np.maximum(share, 1e-300)), PENALTY))
-    return LanguageModel(languages, tables, np.concatenate(blocks).astype(np.float32) if blocks else np.zeros((0, len(languages)), np.float32))
+        totals = [sum(one) for one in zip(*kept.values())]
+        tables[n] = {f: tuple(-log10(c / t) if c else PENALTY for c, t in zip(row, totals)) for f, row in kept.items()}
+    return LanguageModel(languages, tables)
 
 
 def language_of(model: LanguageModel, spark) -> callable:
@@ -118,8 +121,7 @@ def language_of(model: LanguageModel, spark) -> callable:
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted: LanguageModel = shared.value
         width = len(fitted.languages)
-        rows: dict[str, int] = {}
-        values = np.zeros((CACHE + 1, width + 1))
+        rows, values = fitted.memory()
         for part in parts:
             names, scores = [], []
             for text in part.to_pylist():
@@ -133,7 +135,7 @@ def language_of(model: LanguageModel, spark) -> callable:
                     some = found[begin : begin + 10_000]
                     kinds = set(some)
                     if len(rows) + len(kinds) > CACHE:
-                        rows = {}
+                        rows.clear()
                     for w in kinds:
                         if w in rows:
                             continue
