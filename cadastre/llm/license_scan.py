@@ -42,9 +42,9 @@ def _shingles(words: Column) -> Column:
     return F.transform(indexes(F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.get(words, i + o) for o in range(SHINGLE)]))
 
 
-def _mixed(j: int) -> Column:
-    """The values of the j-th MinHash function over `shingles`."""
-    return F.transform("shingles", lambda x: F.xxhash64(x, F.lit(BANDS_SEED + j)))
+def _value(shingle: Column, j: Column) -> Column:
+    """The j-th MinHash function."""
+    return F.xxhash64(shingle, j, F.lit(BANDS_SEED))
 
 
 def bands_needed(size: int, window: int) -> int:
@@ -75,29 +75,29 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
         stride = max(1, min(sizes) // 4)
         window = max(sizes) + stride - 1
         settings[k] = (stride, window, max(bands_needed(len(set(p)), window) for _, p in pieces))
-    most = max((b for *_, b in settings.values()), default=1)
-    mixed = F.array(*[_mixed(j) for j in range(most)])
-    of_pieces = small_table(spark, [(k, p) for k, pieces in classes.items() for _, p in pieces], "class int, shingles array<bigint>").select("class", mixed.alias("mixed"))
-    least = {(k, j): set() for k, (*_, bands) in settings.items() for j in range(bands)}
-    for row in of_pieces.select("class", F.transform("mixed", lambda m: F.array_min(m)).alias("least")).collect():  # a row for each piece
-        for j in range(settings[row["class"]][2]):
-            least[row["class"], j].add(row["least"][j])
-
-    def met(k: int) -> Column:
-        """(class, at) of the windows of a class that share a band with one of its pieces."""
-        stride, window, bands = settings[k]
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("shingles") - window + stride - 1), F.lit(stride))
-        one = lambda j: F.filter(starts, lambda at: F.array_min(F.slice(F.get(F.col("mixed"), F.lit(j)), at + 1, window)).isin(*least[k, j]))
-        return F.transform(F.array_distinct(F.concat(*[one(j) for j in range(bands)])), lambda at: F.struct(F.lit(k).alias("class"), F.lit(window).alias("window"), at.alias("at")))
-
+    bands = [(k, j, stride, window) for k, (stride, window, n) in settings.items() for j in range(n)]
+    of_pieces = small_table(spark, [(k, p) for k, pieces in classes.items() for _, p in pieces], "class int, piece array<bigint>")
+    banded = of_pieces.join(small_table(spark, bands, "class int, j int, stride int, window int"), "class")
+    least = F.array_min(F.transform("piece", lambda x: F.struct(_value(x, F.col("j")).alias("value"), x.alias("shingle"))))
+    index = banded.select("class", "j", "stride", "window", least.alias("l")).select("class", "j", "stride", "window", "l.*").distinct()  # a row for each piece and band
+    marks = [r["shingle"] for r in index.select("shingle").distinct().collect()]
+
+    # A window shares a band with a piece where it holds the piece's least shingle and none below it: look where such shingles stand, then test
     words = docs.select(F.col(id_col).alias("key"), plain_words(F.col(text_col)).alias("words"))
-    texts = words.select("key", _shingles(F.col("words")).alias("shingles")).select("key", "shingles", mixed.alias("mixed"))
-    none = F.array().cast("array<struct<class:int,window:int,at:int>>")
-    hits = texts.select("key", "shingles", F.explode(F.when(F.size("shingles") > 0, F.concat(none, *[met(k) for k in settings])).otherwise(none)).alias("h"))
+    texts = words.select("key", _shingles(F.col("words")).alias("shingles"))
+    n = F.size("shingles")
+    found = texts.select("key", "shingles", F.explode(F.filter(indexes(n), lambda i: F.get(F.col("shingles"), i).isin(*marks))).alias("p"))
+    found = found.withColumn("shingle", F.get("shingles", F.col("p"))).join(F.broadcast(index), "shingle")  # bounded by the templates
+    last = F.floor((F.greatest(F.lit(0), n - F.col("window")) + F.col("stride") - 1) / F.col("stride"))  # window number that reaches the end
+    first = F.greatest(F.lit(0), F.ceil((F.col("p") - F.col("window") + 1) / F.col("stride")))
+    upto = F.least(last, F.floor(F.col("p") / F.col("stride")))
+    placed = found.filter(first <= upto).select("*", F.explode(F.sequence(first.cast("int"), upto.cast("int"))).alias("number")).withColumn("at", F.col("number") * F.col("stride"))
+    values = F.transform(F.slice("shingles", F.col("at") + 1, F.col("window")), lambda x: _value(x, F.col("j")))
+    hits = placed.filter(F.array_min(values) == F.col("value")).select("key", "shingles", "class", "window", "at")
     pairs = sorted({(k, license) for k, pieces in classes.items() for license, _ in pieces})
     whole = {t["license"]: t["all"] for t in known}
     wanted = small_table(spark, [(k, license, whole[license]) for k, license in pairs], "class int, license string, whole array<bigint>")
-    near = hits.select("key", "shingles", "h.*").join(F.broadcast(wanted), "class")  # the templates themselves
+    near = hits.join(F.broadcast(wanted), "class")  # the templates themselves
     size = F.size("whole")
     begin = F.greatest(F.lit(0), F.col("at") - size)
     around = F.slice("shingles", begin + 1, size * 2 + F.col("window"))
