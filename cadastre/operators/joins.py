@@ -9,14 +9,20 @@ BROADCAST_BYTES = 32 << 20
 HOT_ROWS = 1_000_000
 
 
-def fits_broadcast(table: DataFrame, row_bytes: int = 256) -> bool:
-    """Checked by counting, stopping at the limit."""
+def fits_broadcast(table: DataFrame, row_bytes: int = 64) -> bool:
+    """Whether the table's rows, at `row_bytes` each besides their texts, and its texts as they are, stay below the limit.
+
+    Reading stops at the number of rows that would exceed the limit by themselves.
+    """
     limit = BROADCAST_BYTES // row_bytes
-    return table.select(F.lit(1)).limit(limit + 1).count() <= limit
+    texts = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    width = sum(texts, F.lit(row_bytes).cast("bigint"))
+    rows, size = table.select(width.alias("bytes")).limit(limit + 1).agg(F.count("*"), F.sum("bytes")).head()
+    return rows <= limit and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, key: str, how: str = "left", row_bytes: int = 256, hot_rows: int = HOT_ROWS
+    rows: DataFrame, table: DataFrame, key: str, how: str = "left", row_bytes: int = 64, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """`rows` with the columns of `table` (unique on `key`).
 
@@ -36,4 +42,5 @@ def lookup_join(
     crowded = rows.join(F.broadcast(keys), key, "left_semi")
     others = rows.join(F.broadcast(keys), key, "left_anti")
     hot_table = table.join(F.broadcast(keys), key, "left_semi")
-    return crowded.join(F.broadcast(hot_table), key, how).unionByName(others.join(table, key, how))
+    hot_table = F.broadcast(hot_table) if fits_broadcast(hot_table, row_bytes) else hot_table
+    return crowded.join(hot_table, key, how).unionByName(others.join(table, key, how))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre import kernels
+from cadastre.functions.numeric import is_finite
 from cadastre.session import materialize, small_table
 
 EDGES = "query_id bigint, neighbor_id bigint, distance double, rank int"
@@ -56,7 +57,8 @@ def unit_vector(vec: str | Column, side: str) -> Column:
 def _prepare(df: DataFrame, id_col: str, vec_col: str, by: str | None, metric: str, side: str) -> DataFrame:
     vec = F.col(vec_col).cast("array<double>") if metric == "euclidean" else unit_vector(vec_col, side)
     stratum = F.coalesce(F.col(by).cast("string"), F.lit("None")) if by else F.lit("")
-    return df.filter(F.col(vec_col).isNotNull()).select(
+    usable = F.forall(F.col(vec_col).cast("array<double>"), is_finite)
+    return df.filter(F.coalesce(usable, F.lit(False))).select(
         F.col(id_col).cast("bigint").alias("id"), stratum.alias("stratum"), vec.alias("vec")
     )
 
@@ -147,6 +149,12 @@ def _counts(df: DataFrame, names, *extra) -> list:
     return df.filter(F.col("stratum").isin(*names)).groupBy("stratum", "cell").agg(F.count("*").alias("n"), *extra).collect()
 
 
+def _crowded(queries: DataFrame, limits: Limits) -> dict[tuple[str, int], int]:
+    """Query counts of the cells that hold more than one block of them, whatever the size of their stratum."""
+    counted = queries.groupBy("stratum", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > limits.query_rows)
+    return {(r["stratum"], r["cell"]): r["n"] for r in counted.collect()}
+
+
 def knn_join(
     queries: DataFrame,
     candidates: DataFrame,
@@ -161,7 +169,8 @@ def knn_join(
 ) -> DataFrame:
     """Edges (query_id, rank, neighbor_id, distance); `by` restricts candidates to the same stratum.
 
-    `k` is capped by what exists: a query with fewer candidates gets fewer rows.
+    `k` is capped by what exists: a query with fewer candidates gets fewer rows. Rows whose vector is NULL or has a
+    NULL, NaN or infinite component have no distance to anything: they are neither queries nor candidates.
     """
     if metric not in ("euclidean", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -170,7 +179,7 @@ def knn_join(
     q = _prepare(queries, id_col, vec_col, by, metric, "query")
     c = _prepare(candidates, id_col, vec_col, by, metric, "candidate")
     total = c.count()
-    roof = max(limits.pivot_from * limits.cell_rows, math.ceil(total / limits.max_pivots))
+    roof = limits.block_rows
     if by:
         sizes = c.groupBy("stratum").agg(F.count("*").alias("n"))
         large = {r["stratum"]: r["n"] for r in sizes.filter(F.col("n") > roof).collect()}
@@ -182,7 +191,7 @@ def knn_join(
         if not by:
             crowd = {("", 0): q.count()}
         else:
-            busy = q.groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") > max(limits.query_rows, roof))
+            busy = q.groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") > limits.query_rows)
             crowd = {(r["stratum"], 0): r["n"] for r in busy.collect()}
         zero = F.lit(0)
         edges = _search(q.withColumn("cell", zero), c.withColumn("cell", zero), {}, crowd, k, exclude_self, decimals, limits)
@@ -200,7 +209,7 @@ def knn_join(
         c, q = c.withColumn("cell", F.lit(0)).withColumn("gap", F.lit(0.0)), q.withColumn("cell", F.lit(0))
     stats = _counts(c, large, F.min("gap").alias("low"), F.max("gap").alias("high"))
     cells = {(r["stratum"], r["cell"]): r["n"] for r in stats}
-    crowd = {(r["stratum"], r["cell"]): r["n"] for r in _counts(q, large)}
+    crowd = _crowded(q, limits) | {(r["stratum"], r["cell"]): r["n"] for r in _counts(q, large)}
     home = _search(q, c, cells, crowd, k, exclude_self, decimals, limits)
     if not pivots:
         return _finish(_ranked(home, k), metric)
@@ -222,7 +231,7 @@ def knn_join(
         ),
         "routed",
     )
-    crowd = {(r["stratum"], r["cell"]): r["n"] for r in _counts(routed, pivots)}
+    crowd = {(r["stratum"], r["cell"]): r["n"] for r in _counts(routed, pivots)}  # routed queries are of these strata only
     away = _search(routed, c, cells, crowd, k, exclude_self, decimals, limits, reach=True)
     return _finish(materialize(_ranked(home.unionByName(away), k), "edges"), metric)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.functions.numeric import clip, clip_range, col
-from cadastre.operators.rows import valid_pairs
+from cadastre.functions.numeric import is_finite
 
 
 def mse(truth, pred) -> Column:
@@ -34,11 +34,13 @@ def rmsle(truth, pred, truth_floor: float = 0.0, pred_floor: float = 0.0, factor
     """Root mean squared error of log1p values.
 
     Variants: both floored at 0 (default), prediction floored at -1, or values times `factor`.
-    Pairs with a missing side, or a prediction of -1 (which has no logarithm), do not count.
+    Pairs with a missing side do not count. A value of -1 or less that no floor lifts has no finite logarithm:
+    the error of its group is infinite, as it is for the whole set in the original formula.
     """
     t = clip_range(col(truth) * F.lit(factor), truth_floor, None)
     p = clip_range(col(pred) * F.lit(factor), pred_floor, None)
-    gap = F.log1p(t) - F.log1p(p)
+    log = lambda c: F.when(c <= -1, F.lit(float("-inf"))).otherwise(F.log1p(c))
+    gap = F.when((t <= -1) & (p <= -1), F.lit(0.0)).otherwise(log(t) - log(p))
     return F.sqrt(F.avg(gap * gap))
 
 
@@ -56,16 +58,23 @@ def evaluate(
     factor: float = 1.0,
     pred_floor: float = 0.0,
 ) -> DataFrame:
-    """RMSE, MAE, R2 and RMSLE per group, on valid pairs by default."""
-    rows = valid_pairs(df, truth, pred) if drop_invalid else df
-    t, p = F.col(truth), F.col(pred)
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
+    """RMSE, MAE, R2 and RMSLE per group.
+
+    RMSE, MAE and R2 take every pair of finite numbers, however far off the prediction; `n_rows` counts them and
+    `n_dropped` the others. RMSLE leaves out, by default, pairs with a negative truth or a prediction below -1, and these only
+    for itself.
+    """
+    finite = is_finite(F.col(truth)) & is_finite(F.col(pred))
+    t, p = F.when(finite, F.col(truth)), F.when(finite, F.col(pred))
+    usable = (F.col(truth) >= 0) & (F.col(pred) >= -1) if drop_invalid else F.lit(True)
+    return df.groupBy(*by).agg(
+        F.count(F.when(finite, True)).alias("n_rows"),
+        F.count(F.when(F.coalesce(~finite, F.lit(True)), True)).alias("n_dropped"),
         mse(t, p).alias("mse"),
         rmse(t, p).alias("rmse"),
         mae(t, p).alias("mae"),
         r2(t, p).alias("r2"),
-        rmsle(t, p, pred_floor=pred_floor, factor=factor).alias("rmsle"),
+        rmsle(F.when(usable, t), F.when(usable, p), pred_floor=pred_floor, factor=factor).alias("rmsle"),
     )
 
 

@@ -91,7 +91,11 @@ def fit_space(df: DataFrame, space: SearchSpace, fit_on: str | Column | None = T
     if space.category == "apart":
         fill = Fill({f"__n_{c}": 0.0 for c in space.numeric})
     else:
-        fill = Fill({f"__n_{c}": v for c, v in fit_median(train, space.numeric, None).values.items()})
+        medians = fit_median(train, space.numeric, None).values
+        space = replace(space, numeric=[c for c in space.numeric if medians[c] is not None])  # no training value: no distance
+        if not space.numeric and not space.text:
+            raise ValueError("no column of the search space has a training value")
+        fill = Fill({f"__n_{c}": medians[c] for c in space.numeric})
     ordinals, others = {}, []
     if space.category in ("scaled", "apart"):
         unseen = "none" if space.category == "scaled" else "minus_one"

@@ -76,10 +76,14 @@ def sweep_results(spark, sf) -> DataFrame:
 RMSE = "sqrt(avg(pow(truth - prediction, 2)))"
 
 
-@query("metrics_by_split", f"""WITH {PRED_SQL}, ok AS (SELECT * FROM preds WHERE truth >= 0 AND prediction >= -1)
-SELECT model, split, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg(pow(truth - prediction, 2))', 'mse', 1)}, {s6(RMSE, 'rmse', 5)}, {s6('avg(abs(truth - prediction))', 'mae', 5)},
-{s6('1 - sum(pow(truth - prediction, 2)) / (count(*) * var_pop(truth))', 'r2', 9)}, {s6('sqrt(avg(pow(ln(1 + truth) - ln(1 + greatest(prediction, 0)), 2)))', 'rmsle', 9)} FROM ok GROUP BY model, split""")
+OWN_RMSLE = "sqrt(avg(CASE WHEN truth >= 0 AND prediction >= -1 THEN pow(ln(1 + truth) - ln(1 + greatest(prediction, 0)), 2) END))"
+
+
+@query("metrics_by_split", f"""WITH {PRED_SQL}
+SELECT model, split, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_dropped, {s6('avg(pow(truth - prediction, 2))', 'mse', 1)}, {s6(RMSE, 'rmse', 5)}, {s6('avg(abs(truth - prediction))', 'mae', 5)},
+{s6('1 - sum(pow(truth - prediction, 2)) / (count(*) * var_pop(truth))', 'r2', 9)}, {s6(OWN_RMSLE, 'rmsle', 9)} FROM preds GROUP BY model, split""")
 def metrics_by_split(spark, sf):
+    """Every prediction counts in RMSE, MAE and R2, the far negative ones too; only RMSLE leaves those out."""
     out = metrics.evaluate(predictions(spark, sf), "truth", "prediction", ["model", "split"])
     return rounded(rounded(rounded(out, "mse", digits=1), "rmse", "mae", digits=5), "r2", "rmsle", digits=9)
 
@@ -87,6 +91,7 @@ def metrics_by_split(spark, sf):
 @query("rmsle_variants", f"""WITH {PRED_SQL} SELECT model,
 {s6('sqrt(avg(pow(ln(1 + greatest(truth, 0)) - ln(1 + greatest(prediction, 0)), 2)))', 'both_floored', 9)},
 {s6('sqrt(avg(pow(ln(1 + greatest(truth, 0)) - ln(1 + greatest(prediction, -0.5)), 2)))', 'low_floor', 9)},
+{s6("sqrt(avg(CASE WHEN prediction <= -1 THEN CAST('inf' AS DOUBLE) ELSE pow(ln(1 + greatest(truth, 0)) - ln(1 + greatest(prediction, -0.999999)), 2) END))", 'floor_at_pole', 9)},
 {s6('sqrt(avg(pow(ln(1 + greatest(truth * 1000, 0)) - ln(1 + greatest(prediction * 1000, 0)), 2)))', 'scaled', 9)},
 {s6('sqrt(avg(CASE WHEN prediction >= -1 AND truth >= 0 THEN pow(ln(1 + truth) - ln(1 + greatest(prediction, 0)), 2) END))', 'filtered', 9)} FROM preds GROUP BY model""")
 def rmsle_variants(spark, sf):
@@ -95,6 +100,7 @@ def rmsle_variants(spark, sf):
     return df.groupBy("model").agg(
         r6(metrics.rmsle("truth", "prediction"), 9).alias("both_floored"),
         r6(metrics.rmsle("truth", "prediction", pred_floor=-0.5), 9).alias("low_floor"),
+        r6(metrics.rmsle("truth", "prediction", pred_floor=-1.0), 9).alias("floor_at_pole"),
         r6(metrics.rmsle("truth", "prediction", factor=1000.0), 9).alias("scaled"),
         r6(metrics.rmsle(F.when(usable, F.col("truth")), F.when(usable, F.col("prediction"))), 9).alias("filtered"),
     )

@@ -188,7 +188,7 @@ coalesce(l.gross, m.gross) AS gross, coalesce(l.acctbal, m.acctbal) AS acctbal F
 @query("neighbor_price_metrics", f"""WITH {LISTING_PTS}, {edges_sql(4)},
 near AS (SELECT query_id, avg(price) AS p FROM edges JOIN listing ON neighbor_id = row_id GROUP BY query_id),
 j AS (SELECT split, price AS t, p FROM listing JOIN near ON row_id = query_id)
-SELECT split, CAST(count(*) AS BIGINT) AS n_rows, {s6('avg((t - p) * (t - p))', 'mse', 1)}, {s6('sqrt(avg((t - p) * (t - p)))', 'rmse')},
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_dropped, {s6('avg((t - p) * (t - p))', 'mse', 1)}, {s6('sqrt(avg((t - p) * (t - p)))', 'rmse')},
 {s6('avg(abs(t - p))', 'mae')}, {s6('1 - sum((t - p) * (t - p)) / (count(*) * var_pop(t))', 'r2', 9)},
 {s6('sqrt(avg(pow(ln(1 + t) - ln(1 + p), 2)))', 'rmsle', 9)} FROM j GROUP BY split""")
 def neighbor_price_metrics(spark, sf):
