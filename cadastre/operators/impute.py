@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +141,9 @@ def fit_tree(
 ) -> TreeFill:
     """Columns are visited in order, so later trees see earlier fills.
 
-    A column gets a tree when training rows miss it, enough of them carry it, and at least one
-    other column has data; otherwise (or when the fit fails) its training median is used.
+    A column gets a tree when training rows miss it, enough of them carry it, and at least one other
+    column is known in more than half of them; otherwise, or where Spark cannot fit the tree, its training median
+    is used.
     """
     from pyspark.ml.regression import DecisionTreeRegressor
 
@@ -151,7 +155,7 @@ def fit_tree(
     known = {c: row[f"k{i}"] for i, c in enumerate(columns)}
     trees = []
     for target in columns:
-        features = [c for c in columns if c != target and known[c] > 0]
+        features = [c for c in columns if c != target and 2 * known[c] > row["n"]]
         if known[target] == row["n"] or known[target] < min_known or not features:
             continue
         try:
@@ -159,8 +163,8 @@ def fit_tree(
             model = DecisionTreeRegressor(
                 featuresCol="__x", labelCol="__y", predictionCol="__p", maxDepth=depth, seed=seed
             ).fit(rows.select("__x", F.col(f"`{target}`").cast("double").alias("__y")))
-        except Exception as error:  # median on failure, and say so
-            print(f"tree fill of {target} failed, median used: {error}")
+        except (PySparkException, Py4JJavaError) as error:
+            warnings.warn(f"tree fill of {target} failed, median used: {error}", stacklevel=2)
             continue
         trees.append((target, features, model))
         train = _predict(train, target, features, model, medians)

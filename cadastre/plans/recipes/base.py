@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadastre.functions import numeric, strings
 from cadastre.functions.text import append
@@ -62,24 +63,38 @@ class Recipe:
     neighbor_text: Sequence[str] = field(default_factory=tuple)
 
 
+def hash_keyed(df: DataFrame, bits: int = 64) -> DataFrame:
+    """`df` (without repeated rows) with a unique `row_id`: a hash of the row, cut to `bits` bits in tests."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    hashed = lambda *salt: F.shiftright(F.xxhash64(*cells, *salt), 64 - bits) if bits < 64 else F.xxhash64(*cells, *salt)
+    df = materialize(df.withColumns({"row_id": hashed(), "__second": F.xxhash64(*cells, F.lit("second"))}), "keyed")
+    while True:
+        shared = df.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1").select("row_id")
+        if shared.isEmpty():
+            return df.drop("__second")
+        place = F.row_number().over(Window.partitionBy("row_id").orderBy("__second"))  # the few rows of one hash
+        moved = df.join(shared, "row_id", "left_semi").withColumn("__place", place)
+        moved = moved.withColumn("row_id", F.when(F.col("__place") > 1, F.xxhash64("row_id", "__second", "__place")).otherwise(F.col("row_id"))).drop("__place")
+        df = materialize(df.join(shared, "row_id", "left_anti").unionByName(moved), "keyed")
+
+
 def clean(recipe: Recipe, raw: DataFrame, seed: int = 42, ratio: float | None = None) -> DataFrame:
     """Deduplicated, keyed, split, filled and derived rows (stored once).
 
-    Without a key column the key is a hash of the whole row, which does not depend on row order;
-    should two different rows ever share it, the run stops and asks for a key.
+    Without a key column the key is a hash of the whole row, which does not depend on row order; different
+    rows that share it are told apart by their order under a second hash.
     """
     df = rows.dedup(recipe.prepare(numeric.nan_to_null(raw)))
     if recipe.key and recipe.key in df.columns:
         df = df.withColumn("row_id", F.col(recipe.key).cast("bigint"))
     else:
-        df = materialize(df.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), "keyed")
-        if df.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-            raise ValueError("two rows share a hash: name a key column")
+        df = hash_keyed(df)
     if ratio is not None and ratio < 1:
         df = split.exact_sample(df, "row_id", ratio, seed=seed)
     df = materialize(split.hash_split(df, "row_id", seed), "raw")
     present = set(df.columns)
-    numbers = [c for c in recipe.numeric if c in present]
+    others = rows.pick_number_columns(df, ["row_id", recipe.target, *recipe.leaking, *([recipe.key] if recipe.key else [])])
+    numbers = list(dict.fromkeys([*(c for c in recipe.numeric if c in present), *others]))  # derived sums need every number
     df = impute.fit_clean(df, numbers, [c for c in recipe.text if c in present]).apply(df)
     if recipe.ratio_columns:
         df = materialize(recipe.ratios(df), "ratios")
@@ -162,10 +177,11 @@ def run(
         features = materialize(features, "features")
         means = groups.get("rag", [])
         scaled = scale.fit_standard(features, [*wanted, *means]).apply(features, "__z")
+        scaled = scaled.withColumn("__log_target", numeric.log_floor(F.col(recipe.target).cast("double")))
         plans = {"fni": wanted, "fni_rag": means, "fni_with_rag": [*wanted, *means]}
         for group, columns in plans.items():
             if group in needed and len(columns) >= 2:
-                fitted = interactions.fit_interactions(scaled, [f"{c}__z" for c in columns], recipe.target, prefix=f"{group}_")
+                fitted = interactions.fit_interactions(scaled, [f"{c}__z" for c in columns], "__log_target", prefix=f"{group}_")
                 scaled = fitted.apply(scaled)
                 groups[group] = fitted.names
         features = scaled

@@ -13,6 +13,11 @@ from cadastre.plans.recipes.base import Fields, Recipe
 # Columns and band tables (upper bounds included).
 NUMBERS = ["CRIM", "ZN", "INDUS", "NOX", "RM", "AGE", "DIS", "TAX", "PTRATIO", "B", "LSTAT", "CHAS", "RAD"]
 CODES = ["CHAS", "RAD"]
+LABELS = {
+    "CRIM": "crime rate", "ZN": "residential zoning", "INDUS": "industrial share", "NOX": "nox concentration", "RM": "rooms", "AGE": "building age",
+    "DIS": "distance to jobs", "RAD": "highway access index", "TAX": "property tax", "PTRATIO": "pupil-teacher ratio", "B": "B statistic",
+    "LSTAT": "lower status share", "CHAS": "charles river access",
+}
 BANDS = {
     "CRIM": [(1, "low_crime"), (5, "moderate_crime"), (15, "high_crime"), (1e18, "very_high_crime")],
     "ZN": [(5, "low_zoning"), (20, "moderate_zoning"), (50, "high_zoning"), (1e18, "very_high_zoning")],
@@ -67,8 +72,8 @@ def bands_of_neighbors(f: Fields, k: int):
 
 
 def compare(f: Fields, k: int):
-    parts = [relative_phrase(f.number(c), f.number(f"rag_mean_{c}"), f"{c} higher than neighbors", f"{c} lower than neighbors", f"{c} comparable to neighbors") for c in NUMBERS]
-    parts += [phrase(f"{c} aligned with most neighbors", when=f.text(f"rag_mode_{c}").isNotNull()) for c in CODES]
+    parts = [relative_phrase(f.number(c), f.number(f"rag_mean_{c}"), f"{LABELS[c]} higher than neighbors", f"{LABELS[c]} lower than neighbors", f"{LABELS[c]} comparable to neighbors") for c in NUMBERS]
+    parts += [phrase(f"{LABELS[c]} aligned with most neighbors", when=f.text(f"rag_mode_{c}").isNotNull()) for c in CODES]
     return Section(parts, lead="Compared with similar homes: ", tail=".").compile()
 
 
@@ -77,8 +82,8 @@ def delta(f: Fields, k: int):
     for c in NUMBERS:
         coarse = c not in ("CRIM", "NOX", "CHAS", "RAD")
         to = "neighbor mean" if coarse else "neighbors"
-        parts.append(delta_phrase(f.number(c), f.number(f"rag_mean_{c}"), c, f"higher than {to}", f"lower than {to}", digits=2 if coarse else 3))
-    parts += [phrase(f"{c} consistent with neighbors", when=f.text(f"rag_mode_{c}").isNotNull()) for c in CODES]
+        parts.append(delta_phrase(f.number(c), f.number(f"rag_mean_{c}"), LABELS[c], f"higher than {to}", f"lower than {to}", digits=2 if coarse else 3))
+    parts += [phrase(f"{LABELS[c]} consistent with neighbors", when=f.text(f"rag_mode_{c}").isNotNull()) for c in CODES]
     return Section(parts, lead="Relative to neighbors: ", tail=".").compile()
 
 

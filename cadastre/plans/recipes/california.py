@@ -94,11 +94,14 @@ def _coast(f: Fields) -> Column:
 
 
 def _age(bucketed: Column) -> Column:
-    return strings.lookup(bucketed, AGE_WORDS, "unknown")
+    listed = strings.lookup(F.lower(bucketed), AGE_WORDS, None)
+    return F.when(bucketed.isNull(), "unknown age").otherwise(F.coalesce(listed, F.replace(F.lower(bucketed), F.lit("_"), F.lit(" "))))
 
 
 def _income(bucketed: Column) -> Column:
-    return strings.lookup(bucketed, INCOME_WORDS, "unknown")
+    listed = strings.lookup(F.replace(F.lower(bucketed), F.lit(" "), F.lit("_")), INCOME_WORDS, None)
+    upper = F.when(F.lower(bucketed).contains("upper"), "upper-middle income")
+    return F.when(bucketed.isNull(), "unknown income").otherwise(F.coalesce(listed, upper, bucketed))
 
 
 def _rooms(value: Column) -> Column:
