@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 50_000
-FETCH_CAP = 100_000
+FETCH_CAP = 20_000
 
 
 def _distinct(base: DataFrame, column: str, low: float, high: float) -> int:

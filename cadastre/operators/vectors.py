@@ -54,7 +54,8 @@ def gram(df: DataFrame, vector: str, dims: int, offset: np.ndarray | None = None
         v = F.zip_with(v, F.array(*[F.lit(float(x)) for x in offset]), lambda a, b: a - b)
     rows = df.select(v.alias("vec"))
     head = rows.agg(F.count("*").alias("n"), Summarizer.sum(array_to_vector("vec")).alias("s")).first()
-    parts = rows.mapInArrow(kernels.partial_gram(dims), "i int, row array<double>")
+    cores = df.sparkSession.sparkContext.defaultParallelism  # partial matrices a core, not a partition
+    parts = rows.coalesce(cores).mapInArrow(kernels.partial_gram(dims), "i int, row array<double>")
     sums = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()
     out = np.zeros((dims, dims))
     for r in sums:
@@ -138,6 +139,7 @@ def fit_geo_clusters(df: DataFrame, columns: Sequence[str], k: int = 12, fit_on:
         )
         return model.transform(ready).drop("__geo")
 
+    apply.centers = model.clusterCenters()
     return apply
 
 

@@ -30,7 +30,7 @@ def column_statistics(spark, sf):
 @query("standardize", f"WITH {LISTING}, {fit_sql(NUMBERS, m='avg({})', s='stddev_pop({})')} SELECT row_id, "
        + ", ".join(s6(f"({c} - m_{c}) / coalesce(nullif(s_{c}, 0), 1)", c, 9) for c in NUMBERS) + " FROM listing, fit")
 def standardize(spark, sf):
-    df = listing(spark, sf)
+    df = stored(listing(spark, sf), "row_id", "split", *NUMBERS)
     return rounded(scale.fit_standard(df, NUMBERS).apply(df).select("row_id", *NUMBERS), *NUMBERS, digits=9)
 
 
@@ -38,7 +38,7 @@ def standardize(spark, sf):
        + ", ".join(s6(f"({c} - lo_{c}) / coalesce(nullif(hi_{c} - lo_{c}, 0), 1)", c, 9) for c in NUMBERS)
        + ", CAST(0 AS DOUBLE) AS constant FROM listing, fit")
 def minmax(spark, sf):
-    df = listing(spark, sf).withColumn("constant", F.lit(7.0))
+    df = stored(listing(spark, sf), "row_id", "split", *NUMBERS).withColumn("constant", F.lit(7.0))
     columns = [*NUMBERS, "constant"]
     return rounded(scale.fit_minmax(df, columns).apply(df).select("row_id", *columns), *columns, digits=9)
 
@@ -122,7 +122,8 @@ HELD_SQL = f"""held AS (SELECT row_id, split, CASE WHEN row_id % 10 = 0 THEN NUL
 
 def _held(spark, sf):
     value = F.when(F.col("row_id") % 10 == 0, None).when((F.col("split") != "train") & (F.col("row_id") % 3 == 0), "BRAND NEW")
-    return listing(spark, sf).select("row_id", "split", value.otherwise(F.col("segment")).alias("segment"))
+    held = listing(spark, sf).select("row_id", "split", value.otherwise(F.col("segment")).alias("segment"))
+    return stored(held, "row_id", "split", "segment")  # read by the fit and by its application
 
 
 @query("onehot", f"""WITH {LISTING}, {HELD_SQL} SELECT row_id, {", ".join(

@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cadastre.operators import interactions, neighbors, scale, vectors
 from cadastre.operators.split import hash_split
 from cadastre.plans.registry import query, r6, rounded, s6
 from cadastre.plans.search import _edges
-from cadastre.plans.views import parts, split_sql
-from cadastre.session import checkpoint_dir, materialize
+from cadastre.plans.views import PARTS, parts, split_sql
+from cadastre.session import checkpoint_dir, materialize, small_table
 from cadastre.sources import vector_store
 from cadastre.sources.tabular import read_table
 
@@ -84,6 +85,37 @@ def geo_kmeans(spark, sf):
     return vectors.fit_geo_clusters(df, ["size", "retail"])(df).select("row_id", "split", "geo_cluster")
 
 
+@query("geo_kmeans_nearest", f"WITH {PARTS} SELECT row_id, CAST(1 AS INTEGER) AS nearest, CAST(12 AS BIGINT) AS clusters FROM parts")
+def geo_kmeans_nearest(spark, sf):
+    """Whether each row's centre is the nearest one, and the number of clusters in use."""
+    df = parts(spark, sf)
+    assign = vectors.fit_geo_clusters(df, ["size", "retail"])
+    at = lambda c: F.pow(F.coalesce("size", F.lit(0.0)) - float(c[0]), 2.0) + F.pow(F.coalesce("retail", F.lit(0.0)) - float(c[1]), 2.0)
+    placed = assign(df).select("row_id", "geo_cluster", F.array(*[at(c) for c in assign.centers]).alias("far"))
+    near = (F.get("far", F.col("geo_cluster")) <= F.array_min("far") + 1e-9).cast("int")
+    used = placed.agg(F.countDistinct("geo_cluster")).first()[0]
+    return placed.select("row_id", near.alias("nearest"), F.lit(used).cast("bigint").alias("clusters"))
+
+
+@query("pca_variances", f"""WITH v AS (SELECT vec_id, embedding AS e, {split_sql('vec_id')} AS split FROM embeddings),
+x AS (SELECT i, CAST(e[i] AS DOUBLE) AS x FROM v, (SELECT unnest(range(1, 65)) AS i) WHERE split = 'train'),
+d AS (SELECT unnest(range(64)) AS pc) SELECT CAST(pc AS INTEGER) AS pc, CAST(1 AS INTEGER) AS ordered, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS largest_covariance,
+{s6('(SELECT sum(var) FROM (SELECT var_pop(x) AS var FROM x GROUP BY i))', 'total')} FROM d""")
+def pca_variances(spark, sf):
+    """What makes components principal: mean 0, no covariance with the others, variances in falling order that add up to the total."""
+    df = _embeddings(spark, sf)
+    fitted = vectors.fit_pca(df, "embedding", 64)
+    train = fitted.apply(df, "embedding").filter("split = 'train'").select("reduced")
+    products, n, sums = vectors.gram(train, "reduced", 64)
+    mean = sums / n
+    covariance = products / n - np.outer(mean, mean)
+    variance = covariance.diagonal()
+    apart = np.abs(covariance - np.diag(variance)).max(axis=1)
+    rows = [(i, int(i == 0 or variance[i - 1] >= variance[i] - 1e-9), float(round(abs(mean[i]), 6)), float(round(apart[i], 6)), float(variance.sum())) for i in range(64)]
+    out = small_table(spark, rows, "pc int, ordered int, mean double, largest_covariance double, total double")
+    return rounded(out, "total")
+
+
 # ---- correlations and interactions -----------------------------------------------------------------
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net", "days"]
@@ -120,7 +152,7 @@ def _lines(spark, sf):
         net.alias("net"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("days"),
         (net * (1 + F.col("l_tax"))).alias("charge"),
     )
-    df = hash_split(rows, "l_orderkey")
+    df = materialize(hash_split(rows, "l_orderkey"), "lines")  # read by the fit and by what follows
     return scale.fit_standard(df, COLUMNS).apply(df)
 
 

@@ -8,7 +8,7 @@ from cadastre.operators import encode, metrics, neighbors, rows
 from cadastre.operators.knn import Limits, knn_join
 from cadastre.operators.neighbors import SearchSpace
 from cadastre.plans.registry import query, r6, rounded, s6
-from cadastre.plans.views import LISTING, PARTS, listing, medians_sql, parts
+from cadastre.plans.views import LISTING, PARTS, listing, medians_sql, parts, stored
 from cadastre.session import materialize
 from cadastre.sources import tabular
 
@@ -193,7 +193,7 @@ SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_dropped
 {s6('sqrt(avg(pow(ln(1 + t) - ln(1 + p), 2)))', 'rmsle', 9)} FROM j GROUP BY split""")
 def neighbor_price_metrics(spark, sf):
     """Flagship: fill, scale, search the training rows, average their price, judge it by split."""
-    df = listing(spark, sf)
+    df = stored(listing(spark, sf), "row_id", "split", "price", *LISTING_SPACE.numeric, *LISTING_SPACE.text, *LISTING_SPACE.stratify)
     near = neighbors.neighbor_features(_edges(df, LISTING_SPACE), df, "row_id", target="price")
     judged = df.select("row_id", "split", "price").join(near.withColumnRenamed("query_id", "row_id"), "row_id")
     out = metrics.evaluate(judged, "price", "neighbour_price", ["split"])
