@@ -10,7 +10,7 @@ What is known of a set is used for those like it (answers), and lists are skippe
    out any fixed choice of frequent tokens. Index lists of light tokens give pairs of different clusters with their
    number of common tokens; too few rule a pair out.
 3. Sets for which that bound is empty (small ones, and those that mostly hold frequent tokens) meet by
-   prefix lists with the frequent tokens last. A list is sorted by size and position; its blocks of one size are
+   prefix lists of their whole sets, with the tokens frequent among them last. A list is sorted by size and position; its blocks of one size are
    entered only up to the position where the overlap can still be reached, and long lists are cut into
    pairs of bounded blocks.
 4. Every pair that is left is verified on the whole sets. Links and clusters together give the components.
@@ -41,10 +41,6 @@ BLOCK = 1_000  # entries of a block of a long list
 BROADCAST_ROWS = 1_000_000  # candidate ids of some 60 bytes up to which they are broadcast
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
 def _needed(x: int, y: int, percent: int) -> int:
     """Least overlap of sets of sizes x and y whose Jaccard similarity is at least percent."""
     return -(-percent * (x + y) // (100 + percent))
@@ -55,8 +51,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)))
 
 
-def _features(width: int, percent: int):
-    """(key, text) -> key, n, fp, tokens (the zone, and the prefix at least), zone (their number in the zone), bands."""
+def _features(width: int):
+    """(key, text) -> key, n, fp, tokens (those in the zone), zone (their number), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -71,7 +67,7 @@ def _features(width: int, percent: int):
                     n.append(len(s))
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                     zone.append(z)
-                    tokens.append(s[: max(z, _prefix(len(s), percent))] if len(s) else s)
+                    tokens.append(s[:z])
                     if len(s):
                         mins = np.array([(s * k ^ (s >> np.uint64(17))).min() for k in salts]).reshape(BANDS, ROWS)
                         bands.append(mix(mins[:, 0] * ODD[0] + mins[:, 1] + np.arange(BANDS, dtype=np.uint64)))
@@ -96,6 +92,12 @@ def _sets(width: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, whole) -> (node, the set's tokens)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(1)])], names=["node", "tokens"])
+
+
 def _verify(percent: int):
     """(a, b, set of a, set of b) -> (a, b) where they link."""
 
@@ -187,7 +189,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     picked = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     id_type = picked.schema["key"].dataType
     fields = T._parse_datatype_string("n int, fp binary, tokens array<bigint>, zone int, bands array<bigint>").fields
-    feats = picked.mapInArrow(_features(width, percent), T.StructType([T.StructField("key", id_type), *fields]))
+    feats = picked.mapInArrow(_features(width), T.StructType([T.StructField("key", id_type), *fields]))
     feats = materialize(feats.withColumn("row", F.monotonically_increasing_id()), "sets")
 
     copies = materialize(feats.filter("n > 0").groupBy("fp").agg(F.min("row").alias("node"), F.count("*").alias("c")).filter("c > 1").select("fp", "node"), "copies")
@@ -226,10 +228,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Index: lists of light tokens in the zone
     placed = materialize(nodes.join(clusters, "node", "left").select("node", "n", "zone", "tokens", F.coalesce("root", "node").alias("cluster")), "placed")
-    in_zone = placed.filter("zone > 0").select("node", "n", "zone", "cluster", F.explode(F.slice("tokens", 1, F.col("zone"))).alias("token"))
+    in_zone = placed.filter("zone > 0").select("node", "n", "zone", "cluster", F.explode("tokens").alias("token"))
     live = _live(in_zone)
     hits = in_zone.join(live, "token")
-    heavy = materialize(hits.filter(F.col("df") > LIGHT).groupBy("node").agg(F.count("*").cast("int").alias("heavy"), F.collect_set("token").alias("frequent")), "heavy")
+    heavy = materialize(hits.filter(F.col("df") > LIGHT).groupBy("node").agg(F.count("*").cast("int").alias("heavy")), "heavy")
     lists = hits.filter(F.col("df") <= LIGHT).groupBy("token").agg(F.collect_list(F.struct("n", "zone", "node", "cluster")).alias("entries"))  # at most LIGHT each
     met = lists.select("entries").mapInArrow(_light_pairs(percent), "a bigint, b bigint, na bigint, nb bigint, za bigint, zb bigint")
     met = met.groupBy("a", "b", "na", "nb", "za", "zb").agg(F.count("*").alias("common"))
@@ -240,14 +242,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound = F.greatest(*[F.col(f"z{c}") - F.coalesce(f"h{c}", F.lit(0)) - (F.col(f"n{c}") - F.col("needed")) for c in "ab"])
     candidates = met.filter(F.col("common") >= bound).select("a", "b")
 
-    # Sets without a bound there: prefix lists, frequent tokens last
+    # Sets without a bound there: prefix lists over their whole sets, tokens that are frequent among them last
     least = F.ceil(F.lit(percent) * F.col("n") / F.lit(100.0) - 1e-9)
     poor = placed.join(heavy, "node", "left").filter(F.col("zone") - F.coalesce("heavy", F.lit(0)) - (F.col("n") - least) < 1)
-    in_zone_tokens, rest = F.slice("tokens", 1, F.col("zone")), F.slice("tokens", F.col("zone") + 1, F.size("tokens"))
-    often = F.coalesce("frequent", F.array().cast("array<bigint>"))
-    ordered = F.concat(F.array_except(in_zone_tokens, often), F.filter(in_zone_tokens, lambda t: F.array_contains(often, t)), rest)
-    prefixed = poor.select("node", "n", "cluster", F.slice(ordered, 1, (F.col("n") - least + 1).cast("int")).alias("prefix"))
-    prefixed = materialize(prefixed.select("node", "n", "cluster", F.posexplode("prefix").alias("at", "token")), "prefixes")
+    poor = materialize(poor.select("node", "n", "cluster", (F.col("n") - least + 1).cast("int").alias("reach")), "poor")
+    tokens = whole_sets(poor.select("node")).mapInArrow(_tokens, "node bigint, tokens array<bigint>")
+    tokens = materialize(tokens.select("node", F.explode("tokens").alias("token")), "poor-tokens")
+    frequent = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > LIGHT).select("token", F.lit(1).alias("often")), "frequent")
+    ranked = tokens.join(frequent, "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token"))).alias("order"))
+    prefixed = poor.join(ranked, "node").select("node", "n", "cluster", F.posexplode(F.slice("order", F.lit(1), F.col("reach"))).alias("at", "t"))
+    prefixed = materialize(prefixed.select("node", "n", "cluster", "at", F.col("t.token").alias("token")), "prefixes")
     long = _live(prefixed).select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
     listed = prefixed.join(long, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))

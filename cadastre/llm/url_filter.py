@@ -53,10 +53,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found
 
 
-def _strength(children: DataFrame, parent: DataFrame, key: str | None) -> float:
-    """Beta-binomial prior strength of `children` (n, s) around their parents' (n, s) rates, by moments."""
-    up = parent.select(*([key] if key else []), F.col("n").alias("pn"), F.col("s").alias("ps"))
-    both = children.filter("n > 0").join(up, key) if key else children.filter("n > 0").join(F.broadcast(up))  # without a key: one row
+def _strength(children: DataFrame, parent: DataFrame | None, key: str | None, whole: tuple[int, int] = (0, 0)) -> float:
+    """Beta-binomial prior strength of `children` (n, s) around their parents' rates, by moments; without `parent`, around the rate of `whole` (n, s)."""
+    known = children.filter("n > 0")
+    if parent is None:
+        if not whole[0]:
+            return STRONGEST
+        both = known.withColumns({"pn": F.lit(whole[0]), "ps": F.lit(whole[1])})
+    else:
+        both = known.join(parent.select(key, F.col("n").alias("pn"), F.col("s").alias("ps")), key)
     rate = F.col("ps") / F.col("pn")
     spread = rate * (1 - rate)
     row = both.agg(
@@ -71,11 +76,11 @@ def _strength(children: DataFrame, parent: DataFrame, key: str | None) -> float:
 def host_reputation(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url_col: str = "url", good_col: str = "good", z: float = 1.645) -> DataFrame:
     """One row per host of `pages`: host, n, good_rate, good_bound (upper posterior bound).
 
-    `outcomes` (page_id, good 0/1) may cover any part of the pages and hold several rows for one; a NULL outcome
-    counts as none. Pages without a host share the empty host. No outcomes at all: every bound is 1.
+    `outcomes` (page_id, good 0/1) may cover any part of the pages; of several for one page the least counts, a NULL
+    outcome counts as none. Pages without a host share the empty host. No outcomes at all: every bound is 1.
     """
     hosts = pages.select(F.col(page_id).alias("page"), host_of(F.col(url_col)).alias("host"))
-    marked = outcomes.select(F.col(page_id).alias("page"), F.col(good_col).cast("long").alias("good")).filter("good is not null")
+    marked = outcomes.select(F.col(page_id).alias("page"), F.col(good_col).cast("long").alias("good")).filter("good is not null").groupBy("page").agg(F.min("good").alias("good"))
     counted = hosts.join(marked, "page").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("s"))
     known = hosts.groupBy("host").agg(F.lit(1).alias("one")).join(counted, "host", "left")
     domain = domain_of(F.col("host"))
@@ -83,10 +88,9 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_
     sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
     by_domain = materialize(by_host.groupBy("domain", "suffix").agg(*sums), "domains")
     by_suffix = materialize(by_domain.groupBy("suffix").agg(*sums), "suffixes")
-    everything = by_suffix.agg(*sums)
-    top = everything.head()
+    top = by_suffix.agg(*sums).head()
     root = ((top["s"] or 0) + 1) / ((top["n"] or 0) + 2)
-    k1, k2, k3 = _strength(by_suffix, everything, None), _strength(by_domain, by_suffix, "suffix"), _strength(by_host, by_domain, "domain")
+    k1, k2, k3 = _strength(by_suffix, None, None, (top["n"] or 0, top["s"] or 0)), _strength(by_domain, by_suffix, "suffix"), _strength(by_host, by_domain, "domain")
     suffixes = by_suffix.select("suffix", ((F.col("s") + k1 * root) / (F.col("n") + k1)).alias("up"))
     domains = by_domain.join(suffixes, "suffix").select("domain", ((F.col("s") + k2 * F.col("up")) / (F.col("n") + k2)).alias("up"))
     mean = (F.col("s") + k3 * F.col("up")) / (F.col("n") + k3)
