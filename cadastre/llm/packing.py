@@ -26,11 +26,43 @@ from pyspark.taskcontext import TaskContext
 from cadastre.llm.text import table
 from cadastre.session import materialize
 
-CACHE = 300_000  # chunks of text whose ids a worker keeps, twice; some 200 bytes each
+CACHE = 250_000  # chunks of text whose ids a worker keeps, twice; some 250 bytes each
+ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks to str.split, but not to the tokenizer
 BLANKS = re.compile("[ \n]+")
 PLAIN = re.compile("(?!.*<[|])[\x21-\x7e\xc0-\xff]+")
 
 
+class Ids(dict):
+    """Slots of chunks in one flat array of ids; -1 for a chunk that is not there."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
+
+    def extend(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, stop = len(self), len(self) + len(chunks)
+        ends = self.used + np.cumsum(sizes)
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.starts, self.sizes = self._room(self.starts, stop), self._room(self.sizes, stop)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[first:stop], self.sizes[first:stop] = ends - sizes, sizes
+        self.used += len(ids)
+        self.update(zip(chunks, range(first, stop)))
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array) // 2), array.dtype)])
+
+    def ids_of(self, slots: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[slots]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(total)]
+
+
 class ChunkEncoder:
     """Ids of texts by a word-end BPE tokenizer, whose pre-tokens never span a blank: chunks between blanks are encoded once and kept.
 
@@ -48,47 +80,47 @@ class ChunkEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
-        self.pattern = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        vocabulary = given["model"]["vocab"]
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith(given["model"]["end_of_word_suffix"])]] = True
+        self.pattern = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
-        self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        shown = [w.encode().decode("latin-1").translate(self.letters) for w in words]
-        lines = [" ".join(shown[i : i + 200]) for i in range(0, len(shown), 200)]
+        self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)} | {0x20: 0x20}  # the byte-level alphabet, blanks kept
+        self.line_break = given["model"]["vocab"][chr(self.letters[0x0A]) + given["model"]["end_of_word_suffix"]]
+        self.young, self.old = Ids(), Ids()
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks in some order, all their ids, and how many each has."""
+        plain, rest = [], []
+        for chunk in chunks:
+            (plain if PLAIN.fullmatch(chunk) else rest).append(chunk)
+        lines = []
+        for i in range(0, len(plain), 500):
+            words = self.pattern.findall("\n".join([*plain[i : i + 500], ""]).lower())
+            lines.append(" ".join(words).encode().decode("latin-1").translate(self.letters))
         found = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-        data, stops = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)}
-
-    def _encode_chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        plain = {c: self.pattern.findall(c.lower()) for c in chunks if PLAIN.fullmatch(c)}
-        words = self._encode_words(list({w for parts in plain.values() for w in parts}))
-        for chunk, parts in plain.items():
-            yield chunk, b"".join([words[w] for w in parts])
-        rest = [c for c in chunks if c not in plain]
-        for chunk, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            yield chunk, np.array(found.ids, np.int32).tobytes()
+        breaks = np.flatnonzero(ids == self.line_break)  # one behind each chunk
+        sizes = np.diff(breaks, prepend=-1) - 1
+        others = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
+        return plain + rest, np.concatenate([np.delete(ids, breaks), *others]), np.concatenate([sizes, np.array([len(o) for o in others], np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [BLANKS.split(t) for t in texts]
+        split = [BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in texts]
         if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, Ids()
         young, old = self.young, self.old
-        missing = []
-        for chunk in {c for parts in split for c in parts}:
-            if chunk not in young:
-                if (ids := old.get(chunk)) is not None:
-                    young[chunk] = ids
-                else:
-                    missing.append(chunk)
-        young.update(self._encode_chunks(missing))
-        return [np.frombuffer(b"".join(map(young.__getitem__, parts)), np.int32) for parts in split]
+        slots = [np.fromiter(map(young.__getitem__, parts), np.int64, len(parts)) for parts in split]
+        lack = [i for i, s in enumerate(slots) if len(s) and s.min() < 0]
+        missing = list({split[i][k] for i in lack for k in np.flatnonzero(slots[i] < 0)})
+        if missing:
+            there = np.fromiter(map(old.__getitem__, missing), np.int64, len(missing))
+            again, fresh = [c for c, k in zip(missing, there) if k >= 0], [c for c, k in zip(missing, there) if k < 0]
+            kept = there[there >= 0]
+            young.extend(again, old.ids_of(kept), old.sizes[kept])
+            young.extend(*self._encode_chunks(fresh))
+            for i in lack:
+                at = np.flatnonzero(slots[i] < 0)
+                slots[i][at] = [young[split[i][k]] for k in at]
+        return [young.ids_of(s) for s in slots]
 
 
 @lru_cache(maxsize=1)
