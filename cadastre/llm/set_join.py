@@ -10,15 +10,14 @@ What is known of a set is used for those like it (answers), and lists are skippe
    out any fixed choice of frequent tokens. Index lists of light tokens give pairs of different clusters with their
    number of common tokens; too few rule a pair out.
 3. Sets for which that bound is empty (small ones, and those that mostly hold frequent tokens) meet by
-   prefix lists of their whole sets, with the tokens frequent among them last. A list is sorted by size and position; its blocks of one size are
-   entered only up to the position where the overlap can still be reached, and long lists are cut into
-   pairs of bounded blocks.
+   prefix lists of their whole sets, with the tokens frequent among them last. A list is sorted by size and
+   position; its blocks of one size are entered only up to the position where the overlap can still be reached,
+   and long lists are cut into pairs of bounded blocks.
 4. Every pair that is left is verified on the whole sets. Links and clusters together give the components.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -138,7 +137,7 @@ def _light_pairs(percent: int):
 
 
 def _block_pairs(percent: int):
-    """(left block, right block) of one list -> pairs that can still reach the overlap they need; right is NULL for pairs inside left."""
+    """(entries of two blocks of one list, i, j) -> pairs that can still reach the overlap they need; i = j for pairs inside one block."""
 
     def skip(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
         sizes: dict[int, list[tuple]] = {}
