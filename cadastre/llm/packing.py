@@ -149,8 +149,8 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id
     return picked.mapInArrow(encode, kind)
 
 
-def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset.
+def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, digest: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset; with `digest`, ids_crc32 in place of ids.
 
     A NULL or empty text is a document of the one id `end_id`. Repeated rows and NULL ids are documents of their own;
     texts longer than a window are cut as often as needed; an empty table gives no rows. Other columns are not read.
@@ -163,6 +163,7 @@ def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
         starts[row["part"]] = run
         run += row["n"]
     base = spark.sparkContext.broadcast(starts)
+    content = "ids_crc32 bigint" if digest else "ids array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,21 +184,19 @@ def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
             table = np.array(rows, np.int64)
             ends = np.concatenate([[0], np.cumsum(table[:, 2])]).astype(np.int32)
             numbers = {n: pa.array(table[:, k]) for k, n in enumerate(("row", "start", "length", "doc_tokens", "sequence_id", "offset"))}
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
+            ids = crc32_of(pieces) if digest else pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(numbers["row"]), numbers["start"], numbers["length"], ids, numbers["doc_tokens"], numbers["sequence_id"], numbers["offset"]],
-                names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                names=[id_col, "start", "length", content.split()[0], "doc_tokens", "sequence_id", "offset"],
             )
 
-    kind = T.StructType([T.StructField(id_col, stored.schema["key"].dataType), *T._parse_datatype_string("start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint").fields])
+    kind = T.StructType([T.StructField(id_col, stored.schema["key"].dataType), *T._parse_datatype_string(f"start bigint, length bigint, {content}, doc_tokens bigint, sequence_id bigint, offset bigint").fields])
     return stored.mapInArrow(cut, kind)
 
 
-@F.arrow_udf(T.LongType())
-def crc32_of_ids(lists: pa.Array) -> pa.Array:
-    """crc32 of the ids as little-endian unsigned 32-bit numbers."""
-    limits, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-    return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(limits[:-1], limits[1:])], pa.int64())
+def crc32_of(pieces: list[np.ndarray]) -> pa.Array:
+    """crc32 of each piece's ids as little-endian unsigned 32-bit numbers."""
+    return pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in pieces], pa.int64())
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -207,5 +206,5 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_concatenate_and_cut(spark, sf_dir: str) -> DataFrame:
-    pieces = concatenate_and_cut(table(spark, sf_dir, "documents"), vocabulary())
-    return pieces.select("doc_id", "start", "length", crc32_of_ids("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = concatenate_and_cut(table(spark, sf_dir, "documents"), vocabulary(), digest=True)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
