@@ -252,6 +252,19 @@ def test_repeated_passages_are_found_and_clean_texts_are_not(spark):
     assert sorted((r["doc_id"], r["other_doc_id"]) for r in repeated) == [(5, None), (5, None)]
 
 
+def test_every_later_holder_is_reported_whatever_the_order_of_the_files(spark):
+    shared = prose(1, 60)
+    texts = [f"{prose(100 + i, 40)} {shared} {prose(200 + i, 40)}" for i in range(50)]
+    order = random.Random(3).sample(range(50), 50)
+    docs = frame(spark, [texts[i] for i in order], order).repartition(5)
+    rows = passages.repeated_passages(docs).collect()
+    covered = {i: set() for i in range(50)}
+    for r in rows:
+        assert r["other_doc_id"] < r["doc_id"]
+        covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert not covered[0] and all(covered[i] >= set(range(40, 100)) for i in range(1, 50))
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 def test_shards_are_near_equal_and_slots_have_no_gaps(spark):
     hot = prose(1, 50)
