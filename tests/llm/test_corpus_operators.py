@@ -265,6 +265,27 @@ def test_every_later_holder_is_reported_whatever_the_order_of_the_files(spark):
     assert not covered[0] and all(covered[i] >= set(range(40, 100)) for i in range(1, 50))
 
 
+def test_an_edit_at_any_place_is_accepted_as_far_as_the_similarity_says():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    for words in (50, 55, 60, 70, 85, 100):
+        for edit in range(1, words - 1):
+            lead, n = 30, words - 4
+            x = draw.integers(1, 1 << 32, lead + n + 40, np.uint32)
+            y = np.concatenate([draw.integers(1, 1 << 32, 13, np.uint32), x[lead : lead + n], draw.integers(1, 1 << 32, 20, np.uint32)])
+            hit = [k for k in range(max(0, edit - 4), min(n, edit + 1))]  # the shingles that hold the replaced word
+            y[[13 + k for k in hit]] = draw.integers(1, 1 << 32, len(hit), np.uint32)
+            if hit[0] == 0 or hit[-1] == n - 1:
+                continue  # the passage is shorter then
+            for center in set(range(n)) - set(hit):
+                got = passages.same_passage(x, y, (0, lead + center, len(x) - 1), (0, 13 + center, len(y) - 1), 5, 50, 0.8)
+                assert got == [(lead, lead + edit, 13, 13 + edit), (lead + edit + 1, lead + words, 13 + edit + 1, 13 + words)]
+    one, two = draw.integers(1, 1 << 32, 300, np.uint32), draw.integers(1, 1 << 32, 300, np.uint32)
+    two[100:140], two[5] = one[100:140], one[160]  # 44 words and a match out of order
+    assert passages.same_passage(one, two, (0, 120, 299), (0, 120, 299), 5, 50, 0.8) is None
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 def test_shards_are_near_equal_and_slots_have_no_gaps(spark):
     hot = prose(1, 50)
