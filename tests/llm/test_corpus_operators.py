@@ -286,6 +286,28 @@ def test_an_edit_at_any_place_is_accepted_as_far_as_the_similarity_says():
     assert passages.same_passage(one, two, (0, 120, 299), (0, 120, 299), 5, 50, 0.8) is None
 
 
+def test_texts_with_a_common_line_are_compared_beyond_its_first_and_last_holders(spark):
+    import numpy as np
+
+    from cadastre.llm import shingles
+
+    hashes, seeds = shingles.WordHashes(), itertools.count(50_000)
+    values = lambda text: shingles.mix(shingles.windows(hashes.of(shingles.split_words(text)), 5) ^ shingles.mix(np.full(1, 101, np.uint64))[0])
+    line = next(p for p in (prose(next(seeds), 49) for _ in range(20_000)) if values(p)[22] < 0.005 * 2**64)  # no passage by itself
+    texts = []
+    while len(texts) < 12:
+        before, after = prose(next(seeds), 20), prose(next(seeds), 20)
+        texts += [f"{before} {line} {after}"] * (int(values(f"{before} {line} {after}").argmin()) == 42)
+    parts = [t.split(f" {line} ") for t in texts]
+    texts[6], texts[7], texts[8] = (f"{b} {line} {a}" for b, a in ((parts[6][0], parts[3][1]), (parts[4][0], parts[7][1]), (parts[4][0], parts[3][1])))
+    assert all(int(values(t).argmin()) == 42 for t in texts)  # one window each, with its center amid the line
+    covered = {}
+    for r in passages.repeated_passages(frame(spark, texts), functions=1).collect():
+        assert r["other_doc_id"] < r["doc_id"]
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert covered == {6: set(range(20, 89)), 7: set(range(69)), 8: set(range(89))}
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 def test_shards_are_near_equal_and_slots_have_no_gaps(spark):
     hot = prose(1, 50)
