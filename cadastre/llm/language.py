@@ -7,7 +7,7 @@ with a space) that some language knows, trying 5 characters first, then 4, 3, 2
 skipped. A document's score in a language is the mean over its words, and the lowest score wins.
 
 The model is fitted on at most `max_rows` labelled rows, chosen by a hash of their text, so that it stays
-small at any size of the corpus; every row is scored.
+small at any size of the corpus; languages share this bound evenly, and those with fewer rows than their share give all. Every row is scored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.llm.text import crc_fold, table
+from cadastre.session import materialize
 
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,39 +71,78 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) -> (lang, gram, n) of each batch, 1 to LONGEST characters of the padded word."""
+    for batch in batches:
+        found: dict[str, Counter] = {}
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            counts, padded = found.setdefault(lang, Counter()), f" {word} "
+            for size in range(1, LONGEST + 1):
+                for i in range(len(padded) - size + 1):
+                    counts[padded[i : i + size]] += n
+        rows = [(lang, g, n) for lang, counts in found.items() for g, n in counts.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"]
+        )
+
+
+def _even_share(sizes: list[int], total: int) -> float:
+    """The most rows a group may give so that all give `total` at most; groups with fewer give all, but none less than one row."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left / (len(sizes) - k)
+        if size > share:
+            return max(1.0, share)
+        left -= size
+    return float(max(sizes, default=1))
+
+
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000, least_count: int = 2, max_words: int = 100_000) -> LanguageModel:
     """Word and n-gram log frequencies of each language.
 
-    `max_rows` bounds the labelled rows used (a hash of the text picks them; about that many). Words seen less than
-    `least_count` times only count through their n-grams. `max_words` bounds the words fetched, most frequent first.
+    `max_rows` bounds the labelled rows used (a hash of the text picks them; about that many), shared evenly by the languages. Words seen
+    less than `least_count` times only count through their n-grams, which are counted over all words of these rows. `max_words` bounds the words
+    fetched of each language: where more are left, the least count that fits is raised for that language.
     """
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    total = labelled.count()
-    share = min(1.0, max_rows / max(1, total))
-    picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return LanguageModel([], {n: {} for n in range(LONGEST + 1)})
+    share = _even_share(list(sizes.values()), max_rows)
+    below = {lang: int(min(1.0, share / n) * (1 << 40)) for lang, n in sizes.items()}
+    roof = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+    picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 40)) < roof)
     counted = picked.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow()
-    langs, found, counts = (rows.column(i).to_pylist() for i in range(3))
-    languages = sorted(set(langs))
+    counted = materialize(counted, "words")
+    per = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum((F.col("n") >= least_count).cast("long")).alias("n")).collect()}
+    languages = sorted(per)
+    if not languages:
+        return LanguageModel([], {n: {} for n in range(LONGEST + 1)})
+    least = dict.fromkeys(languages, least_count)
+    crowded = [lang for lang in languages if per[lang] > max_words]
+    if crowded:
+        steps = counted.filter(F.col("lang").isin(crowded) & (F.col("n") >= least_count)).groupBy("lang", "n").agg(F.count("*").alias("c")).collect()
+        for lang in crowded:
+            total = 0
+            for n, c in sorted(((r["n"], r["c"]) for r in steps if r["lang"] == lang), reverse=True):
+                total += c
+                if total > max_words:
+                    least[lang] = n + 1
+                    break
+    enough = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
+    words = counted.filter(F.col("n") >= enough).select("lang", F.col("word").alias("feature"), "n")
+    grams = counted.mapInArrow(_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumnRenamed("gram", "feature")
     at = {name: i for i, name in enumerate(languages)}
     features: dict[int, dict[str, list[int]]] = {n: {} for n in range(LONGEST + 1)}
-
-    def add(n: int, feature: str, language: int, times: int) -> None:
-        row = features[n].get(feature)
-        if row is None:
-            row = features[n][feature] = [0] * len(languages)
-        row[language] += times
-
-    for lang, word, n in zip(langs, found, counts):
-        if n >= least_count:
-            add(0, word, at[lang], n)
-        padded = f" {word} "
-        for size in range(1, LONGEST + 1):
-            for i in range(len(padded) - size + 1):
-                add(size, padded[i : i + size], at[lang], n)
+    for frame, is_word in ((words, True), (grams, False)):
+        known = frame.groupBy("feature").agg(F.collect_list(F.struct("lang", "n")).alias("found"), F.sum("n").alias("all"))
+        for batch in known.filter(F.col("all") >= least_count).select("feature", "found.lang", "found.n").toArrow().to_batches():
+            for feature, langs, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                row = features[0 if is_word else len(feature)][feature] = [0] * len(languages)
+                for lang, n in zip(langs, counts):
+                    row[at[lang]] = n
     tables: dict[int, dict[str, tuple[float, ...]]] = {}
-    for n, known in features.items():
-        kept = {f: row for f, row in known.items() if sum(row) >= least_count}
+    for n, kept in features.items():
         totals = [sum(one) for one in zip(*kept.values())]
         tables[n] = {f: tuple(-log10(c / t) if c else PENALTY for c, t in zip(row, totals)) for f, row in kept.items()}
     return LanguageModel(languages, tables)
@@ -115,7 +155,7 @@ def language_of(model: LanguageModel, spark) -> callable:
     n-gram is known gets the first language with score 1 / languages. The score is the share of the winner in the
     likelihood of up to ten words at the document's mean; ties go to the first language in order.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by fit_languages' max_words
+    shared = spark.sparkContext.broadcast(model)  # bounded by fit_languages' max_words and max_rows
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -120,6 +120,20 @@ def test_languages_are_learnt_and_odd_texts_have_a_result(spark):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_hot_language_takes_neither_rows_nor_words_nor_ngrams_of_the_others(spark):
+    hot = [(f"{prose(i, 40, 400)} {'kept ' * (i % 3)}", "aa") for i in range(400)]
+    rare = [("zuzu qiqi wowo " + "xyxyxy " * 2, "zz"), ("qiqi zuzu olala", "zz")]
+    docs = spark.createDataFrame(hot + rare, "text string, lang string")
+    model = language.fit_languages(docs, max_rows=40, max_words=5)
+    assert model.languages == ["aa", "zz"]
+    words = model.tables[0]
+    assert {w for w, (a, z) in words.items() if z < language.PENALTY} == {"zuzu", "qiqi", "xyxyxy"}
+    assert 0 < sum(a < language.PENALTY for a, _ in words.values()) <= 5
+    assert "ola" not in words and model.tables[3]["xyx"][1] < language.PENALTY and model.tables[1]["o"][1] < language.PENALTY
+    counts = Counter(g for t, _ in rare for w in t.split() for p in [f" {w} "] for g in (p[i : i + 2] for i in range(len(p) - 1)))
+    assert {g for g, (_, z) in model.tables[2].items() if z < language.PENALTY} >= {g for g, n in counts.items() if n > 1}
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
