@@ -53,6 +53,13 @@ _owner: ContextVar[str] = ContextVar("owner", default="session")
 _written: dict[str, list[str]] = {}
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for files that are not parquet; deleted with what its owner materialises."""
+    path = os.path.join(checkpoint_dir(spark), "cadastre", f"{label}-{uuid.uuid4().hex}")
+    _written.setdefault(_owner.get(), []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -61,8 +68,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     until its owner drops it (see `owner` and `scratch`).
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "cadastre", f"{label}-{uuid.uuid4().hex}")
-    _written.setdefault(_owner.get(), []).append(path)
+    path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
