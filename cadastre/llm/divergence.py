@@ -11,6 +11,7 @@ Terms are numbered by how many groups hold them, then by their first group, so t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadastre.llm.numbering import numbered
-from cadastre.llm.text import ascii_lower, table
+from cadastre.llm.text import LOWER, UPPER, table
 from cadastre.operators.joins import fits_broadcast
 from cadastre.session import materialize
 
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+LETTERS = (UPPER + LOWER).encode()
+PLAIN = bytes(ord(chr(c).lower()) if c in LETTERS else c if c > 0x7F else 0x20 for c in range(256))  # what no term holds is a blank
+ENTRIES = 300_000  # terms that a task counts before it sends them on
 SCALE = 1_000_000_000
 ROWS, COLS = 32, 4096  # powers of two
 CHUNK = 4096  # counts of a histogram in one row
@@ -36,6 +39,34 @@ def _share(count: str, total: str, kept: str) -> Column:
     return F.expr(f"1 + coalesce((CAST({count} + 1 AS DECIMAL(20, 0)) * {SCALE}BD) div CAST({below} AS DECIMAL(20, 0)), 0)")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, count, docs), combined as far as one task's memory goes."""
+    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, docs) in found.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), terms, pa.array(counts.values(), pa.int64()), pa.array(map(docs.__getitem__, counts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+        found.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
+            if (lang, source) not in found:
+                found[lang, source] = Counter(), Counter()
+            counts, docs = found[lang, source]
+            before = len(counts)
+            terms = (text.as_py() or "").encode().translate(PLAIN).split()
+            counts.update(terms)
+            docs.update(set(terms))
+            size += len(counts) - before
+            if size > ENTRIES:
+                yield from sent()
+                size = 0
+    yield from sent()
+
+
 def _gap(p, q):
     return (p - q) * (p - q) // q
 
@@ -115,13 +146,9 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     language. NULLs are empty strings; groups without terms have pairs; a language that keeps no term has value 0; equal
     values rank by item; repeated rows count as documents of their own; an empty table gives no rows; other columns are not read.
     """
-    text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, lang_col, source_col))
-    terms = F.filter(F.split(ascii_lower(text), NO_TERM), lambda t: t != "")
-    one = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("count"), F.lit(0).cast("long").alias("docs")))
-    first = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("count"), F.lit(1).cast("long").alias("docs")))
-    words = docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
-    each = words.select("lang", "source", F.explode(F.concat(one, first)).alias("t")).select("lang", "source", "t.*")
-    cells = materialize(each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "cells")
+    lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col))
+    words = docs.select(lang.alias("lang"), source.alias("source"), F.col(text_col).alias("text")).mapInArrow(_counted, "lang string, source string, term string, count bigint, docs bigint")
+    cells = materialize(words.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "cells")
     sums = cells.groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("docs").alias("docs"), F.count("*").alias("holders"), F.min("source").alias("lead"))
     sums = sums.filter(F.col("docs") >= least_docs).drop("docs")
     columns, width = numbered(sums, ["lang", F.desc("holders"), "lead", "term"], "col", "terms")
