@@ -62,7 +62,9 @@ def test_constant_column_correlates_zero(spark):
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (None, 1.0), (2.0, float("nan")), (4.0, -5.0)], "t double, p double")
     row = metrics.evaluate(df, "t", "p").first()
-    assert row["n_rows"] == 2 and row["mse"] == 0.5 and row["mae"] == 0.5 and row["r2"] == 0.5
+    truth, pred = np.array([1.0, 3.0, 4.0]), np.array([2.0, 3.0, -5.0])  # every finite pair; RMSLE leaves out the prediction below -1
+    assert row["n_rows"] == 3 and row["n_dropped"] == 2 and np.isclose(row["mse"], 82 / 3) and np.isclose(row["mae"], 10 / 3)
+    assert np.isclose(row["r2"], 1 - ((truth - pred) ** 2).sum() / ((truth - truth.mean()) ** 2).sum())
     assert np.isclose(row["rmsle"], np.sqrt(0.5 * (np.log(2) - np.log(3)) ** 2))
 
 
