@@ -45,7 +45,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, words in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["lang", "word", "n"])
         found.clear()
 
     for batch in batches:

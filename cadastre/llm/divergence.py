@@ -47,7 +47,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent() -> Iterator[pa.RecordBatch]:
         for (lang, source), (counts, docs) in found.items():
             terms = pa.array(list(counts), pa.binary()).cast(pa.string())
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), terms, pa.array(counts.values(), pa.int64()), pa.array(map(docs.__getitem__, counts), pa.int64())]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), terms, pa.array(counts.values(), pa.int64()), pa.array([docs[t] for t in counts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
         found.clear()
 
