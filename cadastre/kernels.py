@@ -83,16 +83,76 @@ def top_k(q_id, q, c_id, c, k, exclude_self=True, decimals=9, limit=None):
     return tuple(np.concatenate(x) for x in (out_q, out_c, out_d, out_r))
 
 
-def block_search(k: int, exclude_self: bool, decimals: int):
+def mismatch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of one-hot codes (..., columns): 2 for each pair of different categories, 1 where only one side is unseen (below 0)."""
+    return np.where(a == b, 0, 2 - (a < 0) - (b < 0)).sum(-1).astype(float)
+
+
+def near_pairs(q_id, q, c_id, c, k, exclude_self=True, decimals=9, limit=None, q_codes=None, c_codes=None, prefix=0, count=None):
+    """As `top_k`, for vectors with category codes beside them, and for wide vectors that are rotated so that their first `prefix` places hold most of their length.
+
+    The distance of the prefixes and, by Cauchy-Schwarz, the difference of the norms of the rests bound a pair's distance from below;
+    pairs whose bound passes the k-th best distance of a first guess are closed unseen. `count` collects (pairs, closed).
+    """
+    m = len(c)
+    empty = np.array([], "i8"), np.array([], "i8"), np.array([], "f8"), np.array([], "i4")
+    if m == 0 or len(q) == 0:
+        return empty
+    head = prefix or q.shape[1]
+    rest = lambda x: np.sqrt((x[:, head:] ** 2).sum(1))
+    c_rest, out = rest(c), [empty]
+    scale = (c * c).sum(1).max(initial=0.0)
+    for at in chunks(np.arange(len(q)), m * (1 + (q_codes.shape[1] if q_codes is not None else 0))):
+        qs, ids = q[at], q_id[at]
+        lower = squared_distances(qs[:, :head], c[:, :head])
+        if prefix:
+            lower += (rest(qs)[:, None] - c_rest) ** 2
+        if q_codes is not None:
+            lower += mismatch(q_codes[at][:, None, :], c_codes[None, :, :])
+        own = c_id[None, :] == ids[:, None] if exclude_self else np.zeros(lower.shape, bool)
+        lower[own] = np.inf
+        error = 1e-13 * (q.shape[1] + 4) * ((qs * qs).sum(1) + scale)[:, None]
+
+        def exact(rows, cols):
+            found = np.empty(len(rows))
+            for part in chunks(np.arange(len(rows)), q.shape[1]):  # noqa: B023
+                gap = qs[rows[part]] - c[cols[part]]  # noqa: B023
+                found[part] = np.einsum("ij,ij->i", gap, gap)
+                if q_codes is not None:
+                    found[part] += mismatch(q_codes[at[rows[part]]], c_codes[cols[part]])  # noqa: B023
+            return np.where(own[rows, cols], np.inf, found)  # noqa: B023
+
+        wide = min(k, m)
+        guess = np.argpartition(lower, wide - 1, axis=1)[:, :wide]
+        each = np.repeat(np.arange(len(at)), wide)
+        cut = exact(each, guess.ravel()).reshape(-1, wide).max(1) if m >= k else np.full(len(at), np.inf)
+        if limit is not None:
+            cut = np.minimum(cut, limit[at] ** 2)
+        with np.errstate(invalid="ignore"):
+            cut = cut + 4e-9 * (np.sqrt(cut) + 1e-3)
+        rows, cols = np.nonzero((lower - error <= cut[:, None]) & ~own)
+        if count is not None:
+            count += np.array([lower.size, lower.size - len(rows)])
+        dist = np.round(np.sqrt(exact(rows, cols)), decimals)
+        near = np.lexsort((c_id[cols], dist, rows))
+        rows, cols, dist = rows[near], cols[near], dist[near]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = rank < k
+        out.append((ids[rows[keep]], c_id[cols[keep]], dist[keep], (rank[keep] + 1).astype("i4")))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def block_search(k: int, exclude_self: bool, decimals: int, prefix: int = 0):
     """Cogroup function: the queries of one block against the candidates of the block."""
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         limit = queries["reach"].to_numpy() if "reach" in queries.column_names else None
-        q, c, d, r = top_k(
-            queries["id"].to_numpy(), matrix(queries["vec"]),
-            candidates["id"].to_numpy(), matrix(candidates["vec"]),
-            k, exclude_self, decimals, limit,
-        )
+        given = (queries["id"].to_numpy(), matrix(queries["vec"]), candidates["id"].to_numpy(), matrix(candidates["vec"]), k, exclude_self, decimals, limit)
+        if prefix or "codes" in queries.column_names:
+            codes = [matrix(t["codes"]).astype(np.int64) if "codes" in t.column_names else None for t in (queries, candidates)]
+            q, c, d, r = near_pairs(*given, *codes, prefix)
+        else:
+            q, c, d, r = top_k(*given)
         return pa.table({"query_id": pa.array(q, pa.int64()), "neighbor_id": pa.array(c, pa.int64()),
                          "distance": pa.array(d, pa.float64()), "rank": pa.array(r, pa.int32())})
 
@@ -165,6 +225,43 @@ def route_queries(pivots: dict, inner: dict, outer: dict):
     return run
 
 
+def nearest_children(first: int):
+    """Cogroup function: the `first` nearest pivots of the row's cell, with the distance."""
+
+    def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+        ids, vec = rows["id"].to_numpy(), matrix(rows["vec"])
+        order = np.argsort(pivots["child"].to_numpy(), kind="stable")
+        children, at = pivots["child"].to_numpy()[order], matrix(pivots["pivot"])[order]
+        wide, picks, gaps = min(first, len(children)), [], []
+        for part in chunks(np.arange(len(ids)), len(children)):
+            near = np.argsort(squared_distances(vec[part], at), axis=1, kind="stable")[:, :wide]
+            gap = vec[part][:, None, :] - at[near]
+            picks.append(children[near].ravel())
+            gaps.append(np.sqrt((gap * gap).sum(-1)).ravel())
+        return pa.table({"id": pa.array(np.repeat(ids, wide), pa.int64()), "cell": pa.array(np.concatenate([*picks, np.array([], "i8")]), pa.int64()), "gap": pa.array(np.concatenate([*gaps, np.array([])]), pa.float64())})
+
+    return run
+
+
+def open_children():
+    """Cogroup function: children of the row's cell whose distance shell may hold something within the row's reach, with the lower bound."""
+
+    def run(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        ids, vec, reach = rows["id"].to_numpy(), matrix(rows["vec"]), rows["reach"].to_numpy()
+        children, at = nodes["child"].to_numpy(), matrix(nodes["pivot"])
+        low, high, out = nodes["low"].to_numpy(), nodes["high"].to_numpy(), []
+        for part in chunks(np.arange(len(ids)), len(children)):
+            d = np.sqrt(squared_distances(vec[part], at))
+            bound = np.maximum(np.maximum(d - high, low - d), 0.0) - 1e-7 * (1.0 + d)
+            i, j = np.nonzero(bound <= reach[part][:, None])
+            out.append((ids[part][i], children[j], bound[i, j]))
+        out.append((np.array([], "i8"), np.array([], "i8"), np.array([])))
+        i, j, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"id": pa.array(i, pa.int64()), "cell": pa.array(j, pa.int64()), "bound": pa.array(b, pa.float64())})
+
+    return run
+
+
 def partial_gram(dims: int):
     """Map function: one row of the partial Gram matrix per dimension and partition."""
 

@@ -98,7 +98,7 @@ def _pivots(candidates: DataFrame, large: dict[str, int], limits: Limits) -> dic
 
 def _search(
     queries: DataFrame, candidates: DataFrame, cells: dict[tuple[str, int], int], crowd: dict[tuple[str, int], int],
-    k: int, exclude_self: bool, decimals: int, limits: Limits, reach: bool = False,
+    k: int, exclude_self: bool, decimals: int, limits: Limits, reach: bool = False, prefix: int = 0,
 ) -> DataFrame:
     """Blocks of queries against blocks of candidates with the same (stratum, cell).
 
@@ -116,7 +116,7 @@ def _search(
             shape.append((*key, parts, salts))
     keys = ["stratum", "cell", "part", "salt"]
     if shape:
-        table = F.broadcast(small_table(spark, shape, "stratum string, cell int, parts int, salts int"))
+        table = F.broadcast(small_table(spark, shape, "stratum string, cell bigint, parts int, salts int"))
         spread = lambda df: df.join(table, ["stratum", "cell"], "left").fillna(1, ["parts", "salts"])
         queries = (
             spread(queries)
@@ -132,11 +132,12 @@ def _search(
         queries = queries.withColumn("part", F.lit(0)).withColumn("salt", F.lit(0))
         candidates = candidates.withColumn("part", F.lit(0)).withColumn("salt", F.lit(0))
     # an explicit count: blocks are small in bytes but heavy in work, so they must not be coalesced
-    left = queries.select(*keys, "id", "vec", *(["reach"] if reach else [])).repartition(tasks, *keys)
-    right = candidates.select(*keys, "id", "vec").repartition(tasks, *keys)
+    codes = ["codes"] if "codes" in queries.columns else []
+    left = queries.select(*keys, "id", "vec", *codes, *(["reach"] if reach else [])).repartition(tasks, *keys)
+    right = candidates.select(*keys, "id", "vec", *codes).repartition(tasks, *keys)
     return (
         left.groupBy(*keys).cogroup(right.groupBy(*keys))
-        .applyInArrow(kernels.block_search(k, exclude_self, decimals), EDGES)
+        .applyInArrow(kernels.block_search(k, exclude_self, decimals, prefix), EDGES)
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from cadastre.operators.impute import Fill, fit_median
 from cadastre.operators.joins import lookup_join
 from cadastre.operators.knn import Limits, knn_join
 from cadastre.operators.rows import TRAIN, where
+from cadastre.operators.tree_join import TreeLimits, tree_join
 from cadastre.session import materialize
 
 
@@ -22,7 +23,8 @@ class SearchSpace:
 
     `category` says how text columns enter it: "scaled" (ordinal codes standardised together
     with the numbers), "apart" (ordinal codes, unseen = -1, standardised; numbers filled by 0),
-    "onehot" (0/1 columns, not scaled) or "frequency" (training share, not scaled).
+    "onehot" (0/1 columns, not scaled; a column of more than `widest` categories stays one column of codes that the
+    kernel compares, with the same distances) or "frequency" (training share, not scaled).
     """
 
     numeric: Sequence[str] = ()
@@ -30,6 +32,7 @@ class SearchSpace:
     stratify: Sequence[str] = ()
     metric: str = "euclidean"
     category: str = "scaled"
+    widest: int = 2_000
 
     def present(self, df: DataFrame) -> SearchSpace:
         """Only the columns the frame has; an empty space is an error."""
@@ -52,6 +55,14 @@ class FittedSpace:
     ordinals: Mapping[str, encode.Ordinal]
     others: Sequence  # one-hot or frequency encoders
     scaler: scale.Affine
+    codes: Mapping[str, encode.Ordinal] = field(default_factory=dict)  # wide one-hot columns
+
+    def with_codes(self, df: DataFrame, out: str = "codes") -> DataFrame:
+        """A column with the codes of the wide categories, -1 where unseen."""
+        keep = df.columns
+        for c, ordinal in self.codes.items():
+            df = ordinal.apply(df, f"__c_{c}")
+        return df.select(*[F.col(f"`{c}`") for c in keep], F.array(*[F.col(f"`__c_{c}`").cast("double") for c in self.codes]).alias(out))
 
     def raw(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         """Filled and coded frame, names to scale, names to keep as they are."""
@@ -96,17 +107,23 @@ def fit_space(df: DataFrame, space: SearchSpace, fit_on: str | Column | None = T
         if not space.numeric and not space.text:
             raise ValueError("no column of the search space has a training value")
         fill = Fill({f"__n_{c}": medians[c] for c in space.numeric})
-    ordinals, others = {}, []
+    ordinals, others, codes = {}, [], {}
     if space.category in ("scaled", "apart"):
         unseen = "none" if space.category == "scaled" else "minus_one"
         ordinals = encode.fit_ordinals(train, space.text, unseen, None)
     elif space.category == "onehot":
-        others = encode.fit_onehots(train, space.text, None)
+        counts = encode.value_counts(train, space.text, space.widest)
+        others = [encode.OneHot(c, list(found)) for c, found in counts.items() if found is not None]
+        codes = encode.fit_ordinals(train, [c for c, found in counts.items() if found is None], "minus_one", None)
+        if codes and space.metric != "euclidean":
+            raise ValueError(f"{sorted(codes)} have more than {space.widest} categories: use the Euclidean metric")
+        if codes and space.stratify:
+            raise ValueError(f"{sorted(codes)} have more than {space.widest} categories: search without strata, or raise `widest`")
     elif space.category == "frequency":
         others = [encode.fit_frequency(train, c, None) for c in space.text]
     else:
         raise ValueError(f"unknown category style {space.category!r}")
-    fitted = FittedSpace(space, fill, ordinals, others, scale.Affine({}))
+    fitted = FittedSpace(space, fill, ordinals, others, scale.Affine({}), codes)
     coded, to_scale, _ = fitted.raw(train)
     return replace(fitted, scaler=scale.fit_standard(coded, to_scale, None))
 
@@ -165,10 +182,13 @@ def neighbor_edges(
     space: SearchSpace,
     row_id: str = "row_id",
     fit_on: str = TRAIN,
-    limits: Limits = Limits(),
+    limits: Limits | TreeLimits = Limits(),
 ) -> DataFrame:
     """Edges from every row to its k nearest training rows in the given space.
 
+    The search runs through one level of pivots, or through a tree of them: where `TreeLimits` are given, where categories are
+    compared by codes, and where the candidates would outgrow one level.
+
     One table serves all splits and all smaller k (`rank <= k`). The columns of the space are
     stored first, so that the fits and the search do not repeat the plan behind `df`.
     """
@@ -180,8 +200,14 @@ def neighbor_edges(
     if fitted.space.stratify:
         return stratified_edges(df, k, fitted, row_id, fit_on, limits)
     points = fitted.apply(df, "features").select(
-        F.col(row_id).alias("row_id"), "features", F.expr(fit_on).alias("__train")
+        F.col(row_id).alias("row_id"), "features", *fitted.codes and [F.col(f"`{c}`") for c in space.text], F.expr(fit_on).alias("__train")
     )
+    if fitted.codes:
+        points = fitted.with_codes(points).select("row_id", "features", "codes", "__train")
+    candidates = points.filter("__train")
+    if fitted.codes or isinstance(limits, TreeLimits) or (fitted.space.metric == "euclidean" and candidates.count() > limits.max_pivots * limits.cell_rows):
+        tree = limits if isinstance(limits, TreeLimits) else TreeLimits(limits.cell_rows, block_rows=limits.block_rows, query_rows=limits.query_rows)
+        return tree_join(points, candidates, k, codes_col="codes" if fitted.codes else None, metric=fitted.space.metric, limits=tree)
     return knn_join(points, points.filter("__train"), k, metric=fitted.space.metric, limits=limits)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadastre.operators import encode, metrics, neighbors, rows
 from cadastre.operators.knn import Limits, knn_join
 from cadastre.operators.neighbors import SearchSpace
+from cadastre.operators.tree_join import TreeLimits, tree_join
 from cadastre.plans.registry import query, r6, rounded, s6
 from cadastre.plans.views import LISTING, PARTS, listing, medians_sql, parts, stored
 from cadastre.session import materialize
@@ -129,6 +130,61 @@ def knn_sweep(spark, sf):
     return by_k.groupBy("k", "query_id").agg(r6(F.avg("price")).alias("neighbour_price"))
 
 
+# ---- search through a tree, codes and rotated vectors --------------------------------------------
+
+CODED = f"""{PARTS}, b AS (SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS bc, count(*) AS bn FROM parts WHERE split = 'train' GROUP BY brand),
+t AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS tc, count(*) AS tn FROM parts WHERE split = 'train' GROUP BY kind),
+w AS (SELECT DISTINCT name AS seen FROM parts WHERE split = 'train'), total AS (SELECT count(*) AS n FROM parts WHERE split = 'train'),
+coded AS (SELECT p.* EXCLUDE (brand, kind), p.brand, p.kind, coalesce(bc, {{unseen}}) AS bc, coalesce(tc, {{unseen}}) AS tc, coalesce(bn, 0) / n AS bf, coalesce(tn, 0) / n AS tf,
+bc IS NOT NULL AS bs, tc IS NOT NULL AS ts, seen IS NOT NULL AS ns FROM parts p CROSS JOIN total LEFT JOIN b USING (brand) LEFT JOIN t USING (kind) LEFT JOIN w ON seen = name)"""
+
+
+@query("knn_tree", f"WITH {PART_PTS}, {edges_sql(2)} SELECT {EDGE_COLUMNS} FROM edges")
+def knn_tree(spark, sf):
+    """The same search through a tree of several levels."""
+    return rounded(_edges(parts(spark, sf), limits=TreeLimits(cell_rows=96, fanout=6, block_rows=200, query_rows=600)), "distance")
+
+
+@query("knn_wide", _cosine_sql())
+def knn_wide(spark, sf):
+    """Wide vectors in their principal axes: prefixes and the norms of the rests close most pairs."""
+    from cadastre.operators.split import hash_split
+
+    v = hash_split(tabular.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding"), "row_id")
+    edges = tree_join(v, v.filter("split = 'train'"), K, vec_col="embedding", metric="cosine", rotate=True)
+    return rounded(edges, "distance")
+
+
+def _different(c: str, seen: str) -> str:
+    return f"CASE WHEN q.{c} = c.{c} THEN 0 WHEN q.{seen} THEN 2 ELSE 1 END"
+
+
+@query("knn_wide_onehot", f"""WITH {CODED.format(unseen=-1)}, {standard_sql(['size', 'retail'], 'coded', extra=', brand, kind, name, bs, ts, ns')},
+edges_top AS (SELECT q.row_id AS query_id, min(struct_pack(d := round(sqrt((q.x0 - c.x0) * (q.x0 - c.x0) + (q.x1 - c.x1) * (q.x1 - c.x1) + {_different('brand', 'bs')} + {_different('kind', 'ts')} + {_different('name', 'ns')}), 9), i := c.row_id), {K}) AS near
+FROM pts q, pts c WHERE c.split = 'train' AND q.row_id <> c.row_id GROUP BY q.row_id),
+edges AS (SELECT query_id, unnest(range(1, len(near) + 1)) AS rank, unnest(near).i AS neighbor_id, unnest(near).d AS distance FROM edges_top)
+SELECT {EDGE_COLUMNS} FROM edges""")
+def knn_wide_onehot(spark, sf):
+    """One-hot distances over columns of any number of categories, part names among them."""
+    space = SearchSpace(["size", "retail"], ["brand", "kind", "name"], category="onehot", widest=16)
+    return rounded(_edges(parts(spark, sf), space, limits=TreeLimits(cell_rows=256)), "distance")
+
+
+@query("knn_apart", f"WITH {CODED.format(unseen=-1)}, {standard_sql(['size', 'retail', 'bc', 'tc'], 'coded')}, {edges_sql(4)} SELECT {EDGE_COLUMNS} FROM edges")
+def knn_apart(spark, sf):
+    return rounded(_edges(parts(spark, sf), SearchSpace(["size", "retail"], ["brand", "kind"], category="apart")), "distance")
+
+
+@query("knn_frequency", f"""WITH {CODED.format(unseen=-1)}, {standard_sql(['size', 'retail'], 'coded', extra=', bf AS x2, tf AS x3')}, {edges_sql(4)} SELECT {EDGE_COLUMNS} FROM edges""")
+def knn_frequency(spark, sf):
+    return rounded(_edges(parts(spark, sf), SearchSpace(["size", "retail"], ["brand", "kind"], category="frequency")), "distance")
+
+
+@query("knn_labels", f"WITH {CODED.format(unseen=0)}, {standard_sql(['bc', 'tc'], 'coded')}, {edges_sql(2)} SELECT {EDGE_COLUMNS} FROM edges")
+def knn_labels(spark, sf):
+    return rounded(_edges(parts(spark, sf), SEARCH_MODES["labels"]), "distance")
+
+
 # ---- neighbour features ------------------------------------------------------------------------
 
 NEAR_SQL = f"WITH {PART_PTS}, {edges_sql(2)}, near AS (SELECT query_id, p.* FROM edges JOIN parts p ON neighbor_id = p.row_id)"
