@@ -1,7 +1,8 @@
-"""Box-Cox: lambda by maximum likelihood on training rows, one aggregate per search round."""
+"""Box-Cox: lambda by maximum likelihood on training rows, one aggregate row per Newton step."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -84,31 +85,46 @@ def _shifted(df: DataFrame, column: str, shift: float | None) -> tuple[DataFrame
     return values.select((F.col("x") + F.lit(shift)).alias("x")), shift
 
 
-def fit_boxcox(
-    df: DataFrame,
-    column: str,
-    fit_on: str | Column | None = TRAIN,
-    low: float = -4.0,
-    high: float = 4.0,
-    points: int = 17,
-    rounds: int = 5,
-) -> BoxCox:
-    """Grid, then zoom around the best point; a best point on the edge moves the grid instead."""
-    train = materialize(where(df, fit_on).select(F.col(f"`{column}`")), "boxcox")  # one narrow copy for all rounds
+def _slope(values: DataFrame, centre: float, lam: float) -> tuple[float, float] | None:
+    """First and second derivative of the likelihood per row, over positive `x` with the mean logarithm `centre`.
+
+    With z = ln x - centre the likelihood is -ln var(w) / 2 and a constant, w = (exp(lam z) - 1) / lam; w and its derivatives by
+    lam are columns, as series where lam z is small, and the derivatives of the variance are covariances of theirs.
+    """
+    z = F.ln("x") - F.lit(centre)
+    a = z * F.lit(lam)
+    series = lambda power, terms: F.pow(z, F.lit(power)) * sum((F.pow(a, F.lit(k)) * t for k, t in enumerate(terms)), F.lit(0.0))
+    by = lam or 1.0
+    near = F.abs(a) < 0.02
+    w = F.when(near, series(1, [1, 1 / 2, 1 / 6, 1 / 24, 1 / 120])).otherwise(F.expm1(a) / by)
+    first = F.when(near, series(2, [1 / 2, 1 / 3, 1 / 8, 1 / 30, 1 / 144])).otherwise((z * F.exp(a) - F.expm1(a) / by) / by)
+    rows = values.select(z.alias("z"), a.alias("a"), w.alias("w"), first.alias("w1"))
+    z, a = F.col("z"), F.col("a")
+    second = F.when(F.abs(a) < 0.02, series(3, [1 / 3, 1 / 4, 1 / 10, 1 / 36])).otherwise((z * z * F.exp(a) - 2 * F.col("w1")) / by)
+    rows = rows.withColumn("w2", second)
+    v, c, v1, c2 = rows.agg(F.var_pop("w"), F.covar_pop("w", "w1"), F.var_pop("w1"), F.covar_pop("w", "w2")).first()
+    if v is None or not 0 < v < math.inf or not math.isfinite(c + v1 + c2):
+        return None
+    return -c / v, -(v1 + c2) / v + 2 * (c / v) ** 2
+
+
+def fit_boxcox(df: DataFrame, column: str, fit_on: str | Column | None = TRAIN, start: float = 1.0, rounds: int = 40, tolerance: float = 1e-9) -> BoxCox:
+    """Newton steps from `start`, kept between the last points where the likelihood rose and fell; lambda is `start` for a constant column."""
+    train = materialize(where(df, fit_on).select(F.col(f"`{column}`")), "boxcox")  # one narrow copy for all steps
     values, shift = _shifted(train, column, None)
-    for _ in range(rounds):
-        step = (high - low) / (points - 1)
-        grid = [low + i * step for i in range(points)]
-        found = {r["lam"]: r["llf"] for r in scores(values, grid).collect()}
-        llf = [found[lam] if found.get(lam) is not None else float("-inf") for lam in grid]
-        best = max(range(points), key=llf.__getitem__)
-        centre = grid[best]
-        if 0 < best < points - 1:
-            left, mid, right = llf[best - 1 : best + 2]
-            bend = left - 2 * mid + right
-            if bend < 0 and left != float("-inf") and right != float("-inf"):
-                centre += step * 0.5 * (left - right) / bend
-            low, high = centre - step, centre + step
-        else:
-            low, high = centre - (high - low) / 2, centre + (high - low) / 2
-    return BoxCox(column, centre, shift)
+    centre, least, most = values.agg(F.avg(F.ln("x")), F.min("x"), F.max("x")).first()
+    lam, low, high, last = start, -math.inf, math.inf, 0.0
+    for _ in range(rounds if least != most else 0):
+        found = _slope(values, centre, lam)
+        if found is None:  # out of the range of numbers
+            lam = (lam + last) / 2
+            continue
+        slope, bend = found
+        low, high = (lam, high) if slope > 0 else (low, lam)
+        last = lam
+        lam = lam - slope / bend if bend < 0 else lam + math.copysign(1.0, slope)
+        if not low < lam < high:
+            lam = (low + high) / 2 if math.isfinite(low + high) else last + math.copysign(1.0, slope)
+        if abs(lam - last) < tolerance:
+            break
+    return BoxCox(column, lam, shift)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadastre.operators import boxcox, encode, rows, scale
+from cadastre.operators import boxcox, encode, radix, rows, scale
 from cadastre.plans.registry import query, r6, rounded, s6
 from cadastre.plans.views import LISTING, NUMBERS, PARTS, listing, medians_sql, stored
 from cadastre.sources import tabular
@@ -73,6 +73,29 @@ def boxcox_roundtrip(spark, sf):
     return moved.select("row_id", r6(fitted.undo("moved"), 2).alias("price"))
 
 
+_ROUGH = "(SELECT unnest(range(-80, 81)) * 0.05 AS lam)"
+_LLF = "(lam - 1) * sum(ln(x)) - count(*) / 2.0 * ln(var_pop(CASE WHEN abs(lam) < 1e-9 THEN ln(x) ELSE (pow(x, lam) - 1) / lam END))"
+
+
+@query("boxcox_fit", f"""WITH {LISTING}, x AS (SELECT price / 1000 AS x FROM listing WHERE split = 'train'),
+rough AS (SELECT lam, {_LLF} AS llf FROM x, {_ROUGH} GROUP BY lam), best AS (SELECT arg_max(lam, llf) AS peak FROM rough),
+fine AS (SELECT lam, {_LLF} AS llf FROM x, (SELECT peak + d * 0.001 AS lam FROM best, (SELECT unnest(range(-60, 61)) AS d)) GROUP BY lam)
+SELECT {s6('arg_max(lam, llf)', 'lam', 3)}, {s6('max(llf)', 'llf', 4)} FROM fine""")
+def boxcox_fit(spark, sf):
+    """The fitted lambda, to the third digit, and its likelihood."""
+    df = listing(spark, sf).select("split", (F.col("price") / 1000).alias("unit"))
+    lam = round(boxcox.fit_boxcox(df, "unit").lam, 3)
+    return rounded(rounded(boxcox.likelihood_table(df.filter("split = 'train'"), "unit", [lam]), "llf", digits=4), "lam", digits=3)
+
+
+@query("grouped_quantiles", """SELECT c_nationkey, c_mktsegment, "column", point, round(value, 6) + 0 AS value FROM (
+SELECT c_nationkey, c_mktsegment, 'c_acctbal' AS "column", CAST(unnest([0.1, 0.5, 0.75]) AS DOUBLE) AS point, unnest(a) AS value FROM (SELECT c_nationkey, c_mktsegment, quantile_cont(c_acctbal, [0.1, 0.5, 0.75]) AS a FROM customer GROUP BY 1, 2)
+UNION ALL SELECT c_nationkey, c_mktsegment, 'c_custkey', CAST(unnest([0.1, 0.5, 0.75]) AS DOUBLE), unnest(a) FROM (SELECT c_nationkey, c_mktsegment, quantile_cont(CAST(c_custkey AS DOUBLE), [0.1, 0.5, 0.75]) AS a FROM customer GROUP BY 1, 2))""")
+def grouped_quantiles(spark, sf):
+    customers = tabular.read_table(spark, sf, "customer")
+    return rounded(radix.grouped_quantiles(customers, ["c_nationkey", "c_mktsegment"], ["c_acctbal", "c_custkey"], [0.1, 0.5, 0.75]), "value")
+
+
 INVERSES = {"identity": (None, 0.0), "exponential": (0.0, 1.5), "root": (0.5, 3.0), "reciprocal": (-1.0, 0.0)}
 
 

@@ -178,3 +178,9 @@ def vector_complete(spark, sf):
 @query("set_fingerprint", """SELECT CAST(count(*) AS BIGINT) AS n_texts, bit_xor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(0) || text), 1, 15) AS BIGINT)) AS digest FROM documents""")
 def set_fingerprint(spark, sf):
     return vector_store.fingerprint(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("ordered_fingerprint", """WITH d AS (SELECT md5(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || coalesce(length(text), -1) || ':' || coalesce(text, '')) AS m FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(sum(CAST('0x' || substr(m, 1, 15) AS HUGEINT)) AS VARCHAR) AS high, CAST(sum(CAST('0x' || substr(m, 17, 15) AS HUGEINT)) AS VARCHAR) AS low FROM d""")
+def ordered_fingerprint(spark, sf):
+    return vector_store.ordered_fingerprint(read_table(spark, sf, "documents"), "doc_id", "text")

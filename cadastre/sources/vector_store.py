@@ -61,9 +61,21 @@ def fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_texts"), F.coalesce(F.bit_xor(number), F.lit(0)).alias("digest"))
 
 
+def ordered_fingerprint(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Row count and a digest of the texts in the order of their keys.
+
+    Each row's number comes from its key and its text, both with their lengths (-1 for NULL), so texts that change places change the digest;
+    numbers are added, so repeated rows count. Sums of parts add up in any order: tasks and row ranges combine before the shuffle.
+    """
+    sized = lambda c: F.concat(F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    digest = F.md5(F.concat(sized(F.col(key).cast("string")), sized(F.col(text))))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20, 0)")).cast("decimal(38, 0)")
+    return df.agg(F.count("*").alias("n_texts"), *[F.coalesce(half(at), F.lit(0)).cast("string").alias(n) for at, n in ((1, "high"), (17, "low"))])
+
+
 def fingerprint_text(df: DataFrame, key: str, text: str) -> str:
-    row = fingerprint(df, key, text).first()
-    return f"{row['n_texts']}-{row['digest']:x}"
+    row = ordered_fingerprint(df, key, text).first()
+    return f"{row['n_texts']}-{int(row['high']):x}-{int(row['low']):x}"
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
