@@ -59,6 +59,11 @@ class LanguageModel:
         return None
 
 
+def has_letter(words: list[str]) -> bool:
+    """Whether any word has a letter: LETTERS also finds numerals that are not decimal digits."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each batch."""
     for batch in batches:
@@ -97,21 +102,21 @@ def _even_share(sizes: list[int], total: int) -> float:
     return float(max(sizes, default=1))
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000, least_count: int = 2, max_words: int = 100_000) -> LanguageModel:
+def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000, least_count: int = 2, max_words: int = 100_000, id_col: str | None = None) -> LanguageModel:
     """Word and n-gram log frequencies of each language.
 
-    `max_rows` bounds the labelled rows used (a hash of the text picks them; about that many), shared evenly by the languages. Words seen
+    `max_rows` bounds the labelled rows used (a hash of the text and, if given, the id picks them, so copies are drawn one by one; about that many), shared evenly by the languages. Words seen
     less than `least_count` times only count through their n-grams, which are counted over all words of these rows. `max_words` bounds the words
     fetched of each language: where more are left, the least count that fits is raised for that language.
     """
-    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.col(id_col) if id_col else F.lit(0)).cast("string").alias("id")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], {n: {} for n in range(LONGEST + 1)})
     share = _even_share(list(sizes.values()), max_rows)
     below = {lang: int(min(1.0, share / n) * (1 << 40)) for lang, n in sizes.items()}
     roof = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
-    picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 40)) < roof)
+    picked = labelled.filter(F.pmod(F.xxhash64("text", "id", F.lit("fit")), F.lit(1 << 40)) < roof).select("lang", "text")
     counted = picked.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "words")
     per = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum((F.col("n") >= least_count).cast("long")).alias("n")).collect()}
@@ -166,7 +171,7 @@ def language_of(model: LanguageModel, spark) -> callable:
             names, scores = [], []
             for text in part.to_pylist():
                 found = LETTERS.findall(text.lower()) if text and width else []
-                if not found:
+                if not has_letter(found):
                     names.append("und")
                     scores.append(0.0)
                     continue
@@ -205,7 +210,7 @@ def held_out(key: Column) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score; learns from rows with a language that are not held out."""
-    model = fit_languages(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
+    model = fit_languages(docs.filter(~held_out(F.col(id_col))), text_col, lang_col, id_col=id_col)
     guess = language_of(model, docs.sparkSession)(F.col(text_col)).alias("guess")
     return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), guess).select(id_col, "held_out", "guess.lang_pred", "guess.score")
 

@@ -1,11 +1,11 @@
 """Sharding by sampled splitters: near equal bytes a shard, equal texts side by side.
 
-Every row gets the sort key (hash of its text, hash of its id). A sample of keys, drawn with a
+Every row gets the sort key (hash of its text, hash of its id, number of the row as it is stored). A sample of keys, drawn with a
 probability in proportion to the row's size, gives the quantile boundaries of many small ranges;
 ranges that turn out overfull are subdivided by a denser sample of their own rows. Exact byte
 totals of the ranges (a bounded list) then cut the line of ranges into shards. A group of equal
 texts is one run of keys: it stays together, unless it is larger than a range; then it is
-subdivided by the id's hash, so one group may hold any share of the rows.
+subdivided by the id's hash and, where rows repeat as a whole, by their numbers, so one group may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def shard_by_bytes(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit("tie")))]).alias("key"),
+        F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.col(id_col), F.lit("tie")), F.monotonically_increasing_id())]).alias("key"),
     )
     rows = materialize(rows, "shard-keys")
     total = rows.agg(F.sum("size")).head()[0] or 0

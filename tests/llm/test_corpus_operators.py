@@ -339,3 +339,22 @@ def test_shards_are_near_equal_and_slots_have_no_gaps(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_by_bytes(frame(spark, [])).count() == 0
     assert sorted(r["slot"] for r in sharding.shard_by_bytes(frame(spark, ["x"] * 3, [1, 1, 1])).filter("shard is not null").collect()) in ([0, 0, 0], [0, 0, 1], [0, 1, 2])
+
+
+def test_rows_that_repeat_as_a_whole_are_spread(spark):
+    texts = ["same text of some words"] * 1800 + [prose(i, 5) for i in range(200)]
+    docs = frame(spark, texts, [7] * 1800 + list(range(200)))
+    rows = sharding.shard_by_bytes(docs).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert len(rows) == 2000 and set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) < 0.1 * sum(sizes.values()) / 16
+
+
+def test_texts_of_numerals_have_no_language(spark):
+    rows = [(i, "papa mama lala", "aa") for i in range(40)] + [(50, "² ½ ①", None), (51, "Ⅷ", None), (52, "papa²", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs).collect()}
+    assert got[50] == got[51] == ("und", 0.0) and got[52][0] == "aa"
+    model = language.fit_languages(docs, max_rows=10, id_col="doc_id")
+    assert 0 < sum(10 ** -s[0] for s in model.tables[0].values()) and model.languages == ["aa"]  # copies of one text are drawn one by one
