@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,101 +26,68 @@ from pyspark.taskcontext import TaskContext
 from cadastre.llm.text import table
 from cadastre.session import materialize
 
-CACHE = 250_000  # chunks of text whose ids a worker keeps, twice; some 250 bytes each
-ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks to str.split, but not to the tokenizer
-BLANKS = re.compile("[ \n]+")
-PLAIN = re.compile("(?!.*<[|])[\x21-\x7e\xc0-\xff]+")
-
-
-class Ids(dict):
-    """Slots of chunks in one flat array of ids; -1 for a chunk that is not there."""
-
-    def __init__(self) -> None:
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
-
-    def __missing__(self, chunk: str) -> int:
-        return -1
-
-    def extend(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, stop = len(self), len(self) + len(chunks)
-        ends = self.used + np.cumsum(sizes)
-        self.flat = self._room(self.flat, self.used + len(ids))
-        self.starts, self.sizes = self._room(self.starts, stop), self._room(self.sizes, stop)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[first:stop], self.sizes[first:stop] = ends - sizes, sizes
-        self.used += len(ids)
-        self.update(zip(chunks, range(first, stop)))
-
-    @staticmethod
-    def _room(array: np.ndarray, size: int) -> np.ndarray:
-        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array) // 2), array.dtype)])
-
-    def ids_of(self, slots: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(total)]
+SLICE = 4 << 20  # bytes of text encoded at a time; a longer text is encoded by itself
+LONG = 200  # characters from which on a chunk goes through the whole tokenizer
+ODD = r"[^\x21-\x7e\x{c0}-\x{ff}]|<[|]"  # what a chunk must not hold to go to the merges directly
 
 
 class ChunkEncoder:
-    """Ids of texts by a word-end BPE tokenizer, whose pre-tokens never span a blank: chunks between blanks are encoded once and kept.
+    """Ids of texts by a word-end BPE tokenizer, whose pre-tokens never span a blank: each distinct chunk between blanks of a slice is encoded once.
 
-    Chunks of ASCII and Latin-1 letters, lower-cased and cut by the tokenizer's own pattern, go to its model many at a
-    time; any other chunk goes through the whole tokenizer. Two generations bound the memory: a full one becomes the
-    old one, out of which chunks in use are taken over.
+    Short chunks of ASCII and Latin-1 letters are lower-cased, cut by the tokenizer's own pattern and merged as bytes, the
+    end of a word being a blank; any other chunk goes through the whole tokenizer. Nothing is kept from slice to slice.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tiktoken import Encoding
+        from tokenizers import Tokenizer
 
-        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
         self.pattern = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
-        self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)} | {0x20: 0x20}  # the byte-level alphabet, blanks kept
-        self.line_break = given["model"]["vocab"][chr(self.letters[0x0A]) + given["model"]["end_of_word_suffix"]]
-        self.young, self.old = Ids(), Ids()
-
-    def _encode_chunks(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The chunks in some order, all their ids, and how many each has."""
-        plain, rest = [], []
-        for chunk in chunks:
-            (plain if PLAIN.fullmatch(chunk) else rest).append(chunk)
-        lines = []
-        for i in range(0, len(plain), 500):
-            words = self.pattern.findall("\n".join([*plain[i : i + 500], ""]).lower())
-            lines.append(" ".join(words).encode().decode("latin-1").translate(self.letters))
-        found = [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
-        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}  # the byte-level alphabet
+        suffix, vocab = given["model"]["end_of_word_suffix"], given["model"]["vocab"]
+        ranks = {}
+        for token, rank in vocab.items():  # ids stand in the order of the merges
+            body = token.removesuffix(suffix) or token
+            ranks[bytes(byte_of[c] for c in body) + (b" " if body != token else b"")] = rank
+        self.merges = Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self.line_break = ranks[b"\n "]
+
+    def _merged(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain chunks, and how many each has."""
+        words = self.pattern.findall("\n".join([*chunks, ""]).lower())
+        ids = self.merges.encode_to_numpy(" ".join([*words, ""])).astype(np.int32)
         breaks = np.flatnonzero(ids == self.line_break)  # one behind each chunk
-        sizes = np.diff(breaks, prepend=-1) - 1
-        others = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
-        return plain + rest, np.concatenate([np.delete(ids, breaks), *others]), np.concatenate([sizes, np.array([len(o) for o in others], np.int64)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in texts]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, Ids()
-        young, old = self.young, self.old
-        slots = [np.fromiter(map(young.__getitem__, parts), np.int64, len(parts)) for parts in split]
-        lack = [i for i, s in enumerate(slots) if len(s) and s.min() < 0]
-        missing = list({split[i][k] for i in lack for k in np.flatnonzero(slots[i] < 0)})
-        if missing:
-            there = np.fromiter(map(old.__getitem__, missing), np.int64, len(missing))
-            again, fresh = [c for c, k in zip(missing, there) if k >= 0], [c for c, k in zip(missing, there) if k < 0]
-            kept = there[there >= 0]
-            young.extend(again, old.ids_of(kept), old.sizes[kept])
-            young.extend(*self._encode_chunks(fresh))
-            for i in lack:
-                at = np.flatnonzero(slots[i] < 0)
-                slots[i][at] = [young[split[i][k]] for k in at]
-        return [young.ids_of(s) for s in slots]
+        return np.delete(ids, breaks), np.diff(breaks, prepend=-1) - 1
+
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in some order, where each chunk's begin and how many it has."""
+        odd = pc.or_(pc.match_substring_regex(chunks, ODD), pc.or_(pc.equal(chunks, ""), pc.greater(pc.utf8_length(chunks), LONG)))
+        ids, plain_sizes = self._merged(chunks.filter(pc.invert(odd)).to_pylist())
+        others = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(chunks.filter(odd).to_pylist(), add_special_tokens=False)]
+        at = odd.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)])
+        lengths = np.concatenate([plain_sizes, np.array([len(o) for o in others], np.int64)])
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[order], sizes[order] = np.cumsum(lengths) - lengths, lengths
+        return np.concatenate([ids, *others]), starts, sizes
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, `end_id` behind those of each text, and where each text's end."""
+        parts = pc.ascii_split_whitespace(texts)
+        chunks = parts.flatten().dictionary_encode()
+        found, starts, sizes = self._encode_chunks(chunks.dictionary)
+        slots = chunks.indices.to_numpy()
+        sizes = sizes[slots]
+        ends = np.cumsum(sizes)
+        ids = found[np.repeat(starts[slots] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[parts.offsets.to_numpy()[1:]]
+        return np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
 
 
 @lru_cache(maxsize=1)
@@ -135,13 +102,15 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                ids = [np.append(x, np.int32(end_id)) for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
-                sizes = np.array([len(x) for x in ids])
-                ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(np.full(len(ids), part, np.int32)), pa.array(first + ends - sizes)], names=["key", "ids", "part", "first"])
+            texts = batch.column(1).fill_null("")
+            volume = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE
+            for group in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(volume)) + 1):
+                if not len(group):
+                    continue
+                ids, ends = encoder.encode(texts.slice(group[0], len(group)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                keys = batch.column(0).slice(group[0], len(group))
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(np.full(len(ends), part, np.int32)), pa.array(first + np.concatenate([[0], ends[:-1]]))], names=["key", "ids", "part", "first"])
                 first += int(ends[-1])
 
     picked = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
