@@ -6,7 +6,7 @@ languages that lack it. A word that none knows is scored by the mean over those
 with a space) that some language knows, trying 5 characters first, then 4, 3, 2 and 1; if nothing is known it is
 skipped. A document's score in a language is the mean over its words, and the lowest score wins.
 
-The model is fitted on at most `max_rows` labelled rows, chosen by a hash of their text, so that it stays
+The model is fitted on about `max_rows` labelled rows and `max_bytes` of text, chosen by a hash, so that it stays
 small at any size of the corpus; languages share this bound evenly, and those with fewer rows than their share give all. Every row is scored.
 """
 
@@ -16,7 +16,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +27,40 @@ from cadastre.session import materialize
 
 LONGEST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 500_000  # words whose scores a worker keeps at once
+CACHE = 100_000  # words outside the model whose scores a worker keeps at once
 PENALTY = 7.0  # of a feature that a language lacks, as -log10 of a frequency
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages; number of characters (0 for words) -> feature -> its score in each language. `kept` holds the scores of the words that one worker has met."""
+    """languages; number of characters (0 for words) -> feature -> its row among the scores of that number, a column for each language. `kept` is what one worker has met."""
 
     languages: list[str]
-    tables: dict[int, dict[str, tuple[float, ...]]]
+    rows: dict[int, dict[str, int]]
+    scores: dict[int, np.ndarray]
     kept: dict = field(default_factory=dict)
 
+    @property
+    def tables(self) -> dict[int, dict[str, tuple[float, ...]]]:
+        """number of characters -> feature -> its score in each language."""
+        return {n: {f: tuple(self.scores[n][at].tolist()) for f, at in found.items()} for n, found in self.rows.items()}
+
     def memory(self) -> tuple[dict[str, int], np.ndarray]:
-        """Words and their rows in a table of scores, the last column telling whether anything is known of the word."""
+        """Other words and their rows in a table that begins with the model's words; its last column tells whether anything is known of the word."""
         if not self.kept:
-            self.kept.update(rows={}, values=np.zeros((CACHE + 1, len(self.languages) + 1)))
+            values = np.zeros((len(self.rows[0]) + CACHE, len(self.languages) + 1))
+            values[: len(self.rows[0])] = np.c_[self.scores[0], np.ones(len(self.rows[0]))]
+            self.kept.update(rows={}, values=values)
         return self.kept["rows"], self.kept["values"]
 
-    def word(self, word: str) -> tuple[float, ...] | list[float] | None:
-        own = self.tables[0].get(word)
-        if own is not None:
-            return own
+    def unseen(self, word: str) -> np.ndarray | None:
+        """Mean scores of the longest known n-grams of a word that is not in the model."""
         padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            known = self.tables[n]
-            found = [s for i in range(len(padded) - n + 1) if (s := known.get(padded[i : i + n])) is not None]
+            known = self.rows[n]
+            found = [at for i in range(len(padded) - n + 1) if (at := known.get(padded[i : i + n])) is not None]
             if found:
-                return [sum(one) / len(found) for one in zip(*found)]
+                return self.scores[n][found].sum(axis=0) / len(found)
         return None
 
 
@@ -102,19 +107,21 @@ def _even_share(sizes: list[int], total: int) -> float:
     return float(max(sizes, default=1))
 
 
-def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000, least_count: int = 2, max_words: int = 100_000, id_col: str | None = None) -> LanguageModel:
+def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000, least_count: int = 2, max_words: int | None = None, id_col: str | None = None, max_bytes: int = 64 << 20) -> LanguageModel:
     """Word and n-gram log frequencies of each language.
 
-    `max_rows` bounds the labelled rows used (a hash of the text and, if given, the id picks them, so copies are drawn one by one; about that many), shared evenly by the languages. Words seen
-    less than `least_count` times only count through their n-grams, which are counted over all words of these rows. `max_words` bounds the words
-    fetched of each language: where more are left, the least count that fits is raised for that language.
+    `max_rows` and `max_bytes` bound the labelled rows used and their texts (a hash of the text and, if given, the id picks them, so copies are drawn one by one;
+    about that many), both shared evenly by the languages; a row of each language is always wanted. Words seen less than `least_count` times only count through their
+    n-grams, which are counted over all words of these rows. No word of these rows is left out otherwise, unless a caller sets `max_words` for each language:
+    then the least count that fits is raised where more are left.
     """
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.col(id_col) if id_col else F.lit(0)).cast("string").alias("id")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    volumes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+    sizes, lengths = {r["lang"]: r["n"] for r in volumes}, {r["lang"]: r["size"] for r in volumes}
     if not sizes:
-        return LanguageModel([], {n: {} for n in range(LONGEST + 1)})
-    share = _even_share(list(sizes.values()), max_rows)
-    below = {lang: int(min(1.0, share / n) * (1 << 40)) for lang, n in sizes.items()}
+        return _model([], {n: {} for n in range(LONGEST + 1)})
+    share, room = _even_share(list(sizes.values()), max_rows), _even_share(list(lengths.values()), max_bytes)
+    below = {lang: int(min(1.0, share / n, max(1 / n, room / max(1, lengths[lang]))) * (1 << 40)) for lang, n in sizes.items()}
     roof = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
     picked = labelled.filter(F.pmod(F.xxhash64("text", "id", F.lit("fit")), F.lit(1 << 40)) < roof).select("lang", "text")
     counted = picked.mapInArrow(_count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -122,9 +129,9 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     per = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum((F.col("n") >= least_count).cast("long")).alias("n")).collect()}
     languages = sorted(per)
     if not languages:
-        return LanguageModel([], {n: {} for n in range(LONGEST + 1)})
+        return _model([], {n: {} for n in range(LONGEST + 1)})
     least = dict.fromkeys(languages, least_count)
-    crowded = [lang for lang in languages if per[lang] > max_words]
+    crowded = [lang for lang in languages if max_words is not None and per[lang] > max_words]
     if crowded:
         steps = counted.filter(F.col("lang").isin(crowded) & (F.col("n") >= least_count)).groupBy("lang", "n").agg(F.count("*").alias("c")).collect()
         for lang in crowded:
@@ -146,11 +153,18 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                 row = features[0 if is_word else len(feature)][feature] = [0] * len(languages)
                 for lang, n in zip(langs, counts):
                     row[at[lang]] = n
-    tables: dict[int, dict[str, tuple[float, ...]]] = {}
+    return _model(languages, features)
+
+
+def _model(languages: list[str], features: dict[int, dict[str, list[int]]]) -> LanguageModel:
+    """Counts of each feature in each language as -log10 of its share there."""
+    scores = {}
     for n, kept in features.items():
-        totals = [sum(one) for one in zip(*kept.values())]
-        tables[n] = {f: tuple(-log10(c / t) if c else PENALTY for c, t in zip(row, totals)) for f, row in kept.items()}
-    return LanguageModel(languages, tables)
+        counts = np.array(list(kept.values()), np.float64).reshape(len(kept), len(languages))
+        shares = np.divide(counts, counts.sum(axis=0), out=np.zeros_like(counts), where=counts > 0)
+        scores[n] = np.full(counts.shape, PENALTY)
+        np.negative(np.log10(shares, where=counts > 0, out=np.zeros_like(counts)), where=counts > 0, out=scores[n])
+    return LanguageModel(languages, {n: {f: i for i, f in enumerate(kept)} for n, kept in features.items()}, scores)
 
 
 def language_of(model: LanguageModel, spark) -> callable:
@@ -160,13 +174,13 @@ def language_of(model: LanguageModel, spark) -> callable:
     n-gram is known gets the first language with score 1 / languages. The score is the share of the winner in the
     likelihood of up to ten words at the document's mean; ties go to the first language in order.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by fit_languages' max_words and max_rows
+    shared = spark.sparkContext.broadcast(model)  # bounded by fit_languages' max_rows and max_bytes
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted: LanguageModel = shared.value
         width = len(fitted.languages)
-        rows, values = fitted.memory()
+        known, (others, values) = fitted.rows[0], fitted.memory()
         for part in parts:
             names, scores = [], []
             for text in part.to_pylist():
@@ -178,18 +192,19 @@ def language_of(model: LanguageModel, spark) -> callable:
                 total = np.zeros(width + 1)
                 for begin in range(0, len(found), 10_000):
                     some = found[begin : begin + 10_000]
-                    kinds = set(some)
-                    if len(rows) + len(kinds) > CACHE:
-                        rows.clear()
+                    kinds = dict.fromkeys(some)
+                    if len(others) + len(kinds) > CACHE:
+                        others.clear()
                     for w in kinds:
-                        if w in rows:
-                            continue
-                        one = fitted.word(w)
-                        values[len(rows)] = 0
-                        if one is not None:
-                            values[len(rows), :width], values[len(rows), width] = one, 1
-                        rows[w] = len(rows)
-                    total += values[[rows[w] for w in some]].sum(axis=0)
+                        at = known.get(w)
+                        if at is None:
+                            at = others.get(w)
+                        if at is None:
+                            at = others[w] = len(known) + len(others)
+                            one = fitted.unseen(w)
+                            values[at] = 0 if one is None else [*one, 1]
+                        kinds[w] = at
+                    total += values[[kinds[w] for w in some]].sum(axis=0)
                 if not total[width]:
                     names.append(fitted.languages[0])
                     scores.append(1.0 / width)

@@ -358,3 +358,11 @@ def test_texts_of_numerals_have_no_language(spark):
     assert got[50] == got[51] == ("und", 0.0) and got[52][0] == "aa"
     model = language.fit_languages(docs, max_rows=10, id_col="doc_id")
     assert 0 < sum(10 ** -s[0] for s in model.tables[0].values()) and model.languages == ["aa"]  # copies of one text are drawn one by one
+
+
+def test_the_language_sample_is_bounded_by_bytes_and_keeps_all_its_words(spark):
+    docs = spark.createDataFrame([(i, f"palabra{i % 300:03d}".translate(str.maketrans("0123456789", "abcdefghij")) + " ", "aa") for i in range(600)] + [(-1, "zu " * 50_000, "bb")], "id long, text string, lang string")
+    whole = language.fit_languages(docs, id_col="id")
+    assert len([w for w in whole.tables[0] if w.startswith("palabra")]) == 300 and "zu" in whole.tables[0]
+    small = language.fit_languages(docs, id_col="id", max_bytes=2_000)
+    assert small.languages == ["aa", "bb"] and 0 < len(small.tables[0]) < 200  # a language's only row stays, however long
