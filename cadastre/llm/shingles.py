@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-CACHE = 300_000
+CACHE = 50_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
