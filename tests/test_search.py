@@ -134,3 +134,43 @@ def test_lookup_join_with_hot_keys(spark, monkeypatch):
     rows = rows.withColumn("k", F.col("k").cast("int"))
     got = {(r["id"], r["v"]) for r in joins.lookup_join(rows, table, "k", hot_rows=100).collect()}
     assert got == {(r["id"], r["k"] * 2 if r["k"] < 50 else None) for r in rows.collect()}
+
+
+def test_queries_that_share_a_vector_are_searched_once(spark, monkeypatch):
+    from cadastre.operators import knn
+
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(50, 2)), 12, axis=0)[rng.permutation(600)]
+    train, searched, search = [i for i in range(600) if i % 3], [], knn._search
+    monkeypatch.setattr(knn, "_search", lambda queries, *rest, **options: (searched.append(queries.select("id").distinct().count()), search(queries, *rest, **options))[1])
+    df = points(spark, x)
+    assert found(knn_join(df, df.filter("row_id % 3 <> 0"), 7, limits=TINY)) == brute(x, train, 7)
+    assert max(searched) <= 50
+
+
+def test_boxes_leave_few_cells_open(spark):
+    from cadastre import kernels
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(20_000, 3)), rng.integers(0, 5, (20_000, 1))], axis=1)
+    boxes = kernels.Boxes(x, 100, 3)
+    cell = boxes.leaf(x)
+    leaves = np.unique(cell)
+    boxes.fit(leaves, *(np.array([f(x[cell == c], axis=0) for c in leaves]) for f in (np.min, np.max)))
+    at = rng.integers(0, 20_000, 300)
+    bound = np.array([boxes.bound(x[at], np.full(300, c)) for c in leaves]).T
+    gap = np.sqrt(((x[at, None, :3] - x[None, :, :3]) ** 2).sum(-1) + 2 * (x[at, None, 3] != x[None, :, 3]))
+    least = np.array([gap[:, cell == c].min(1) for c in leaves]).T
+    assert (bound <= least + 1e-9).all()
+    assert (bound <= np.partition(gap, 8, axis=1)[:, 8:9]).sum(1).mean() < 12  # of some 250 cells
+
+
+def test_codes_through_cells_equal_one_hot_columns(spark):
+    rng = np.random.default_rng(10)
+    x, codes = np.round(rng.normal(size=(500, 2)), 1), rng.integers(-1, 4, size=(500, 2))
+    data = [(int(i), [float(v) for v in row], [float(c) for c in code]) for i, (row, code) in enumerate(zip(x, codes))]
+    df = spark.createDataFrame(data, "row_id bigint, features array<double>, codes array<double>")
+    gap = np.where(codes[:, None] == codes[None], 0, 2 - (codes[:, None] < 0) - (codes[None] < 0)).sum(-1)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1) + gap), 9)
+    want = {i: sorted((j for j in range(500) if j != i), key=lambda j: (d[i, j], j))[:6] for i in range(500)}
+    assert found(knn_join(df, df, 6, limits=TINY, codes_col="codes")) == want
