@@ -53,10 +53,14 @@ def unit_vector(vec: str | Column, side: str) -> Column:
     """
     v = (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    zero = F.when(norm == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    scaled = F.transform(v, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
-    markers = F.array(zero, F.lit(0.0)) if side == "candidate" else F.array(F.lit(0.0), zero)
-    return F.concat(scaled, markers)
+
+    def unit(s: Column) -> Column:
+        zero = F.when(s["norm"] == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        scaled = F.transform(s["v"], lambda x: F.when(s["norm"] == 0, F.lit(0.0)).otherwise(x / s["norm"]))
+        return F.concat(scaled, F.array(zero, F.lit(0.0)) if side == "candidate" else F.array(F.lit(0.0), zero))
+
+    # the norm is bound to a variable, or it would be summed again for every place
+    return F.when(v.isNotNull(), F.transform(F.array(F.struct(v.alias("v"), norm.alias("norm"))), unit)[0])
 
 
 def _prepare(df: DataFrame, id_col: str, vec_col: str, codes_col: str | None, by: str | None, metric: str, side: str) -> DataFrame:

@@ -174,3 +174,15 @@ def test_codes_through_cells_equal_one_hot_columns(spark):
     d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1) + gap), 9)
     want = {i: sorted((j for j in range(500) if j != i), key=lambda j: (d[i, j], j))[:6] for i in range(500)}
     assert found(knn_join(df, df, 6, limits=TINY, codes_col="codes")) == want
+
+
+def test_unit_vectors_sum_each_norm_once(spark):
+    import time
+
+    from cadastre.operators.knn import unit_vector
+
+    df = spark.range(0, 40, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.rand(1) * 0 + i).alias("v"))
+    start = time.time()
+    row = df.select(unit_vector("v", "query").alias("u")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), F.min(F.size("u"))).first()
+    assert abs(row[0] - 40) < 1e-9 and row[1] == 3002
+    assert time.time() - start < 15
