@@ -118,3 +118,32 @@ def test_vector_completion(spark):
     assert [got[i]["vector_source"] for i in (1, 2, 3, 4)] == ["stored", "computed", "zero", "zero"]
     assert got[1]["vector"] == [1.0, 2.0] and sum(got[2]["vector"]) == 2.0 and got[3]["vector"] == [0.0, 0.0]
     assert {r["text"] for r in vector_store.misses(texts, store, "m").collect()} == {"two words", "  "}
+
+
+def test_interactions_of_many_columns_stay_compiled(spark):
+    """The JVM never compiles methods above 8,000 bytes; cleaning, standardising and interacting eight columns stays below."""
+    import re
+
+    names = [f"c{i}" for i in range(8)]
+    df = spark.range(40).select("id", *[F.sin(F.col("id") * (i + 2)).alias(c) for i, c in enumerate(names)])
+    edges = {c: [(o, 0.3) for o in names if o != c][:3] for c in names}
+    plain = interactions.Interactions(names, edges, 3.0, True, True, None, "fni_")
+    shifted = df.withColumns({c: (F.col(c) - 0.5) / 0.7 for c in names})
+    out = plain.apply(shifted).select("id", *[(F.round(F.col(n), 5) + 0.0).alias(n) for n in plain.names])
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", out._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_cleaned_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (None, float("nan"), inf, -inf, 5.0, -5.0, 0.25)], "x double")
+    assert [r[0] for r in df.select(interactions.cleaned("x", 3.0)).collect()] == [0.0, 0.0, 0.0, 0.0, 3.0, -3.0, 0.25]
+    assert [r[0] for r in df.select(interactions.cleaned("x", 0.0)).collect()] == [0.0, 0.0, 0.0, 0.0, 5.0, -5.0, 0.25]
+
+
+def test_split_follows_the_hash_unit(spark):
+    df = spark.range(3000).withColumn("u", split.hash_unit("id", 7))
+    for train, val in ((0.7, 0.1), (1.0, 0.0), (0.0, 0.5), (0.25, 0.75)):
+        plain = F.when(F.col("u") < train, "train").when(F.col("u") < train + val, "val").otherwise("test")
+        assert split.hash_split(df, "id", 7, train, val).filter(F.col("split") != plain).isEmpty()
