@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadastre.operators import metrics, neighbors, runs
 from cadastre.operators.neighbors import SearchSpace
+from cadastre.operators.split import hash_split
 from cadastre.plans.registry import query, rounded, s6
 from cadastre.plans.search import edges_sql, standard_sql
 from cadastre.plans.views import PARTS, parts, split_sql
@@ -18,10 +19,13 @@ SETTINGS = {"seed": "int", "rag_k": "int"}
 
 
 def _evaluated(spark, sf, root) -> int:
-    """Neighbour prices for each seed and k: one edge table a seed, at the largest k."""
+    """Neighbour prices for each seed and k: one edge table a seed, at the largest k, and prices that are summed once for all seeds."""
+    made = []
 
     def prepare(config):
-        df = materialize(parts(spark, sf, config["seed"]).select("row_id", "split", "price", "size", "retail"), "parts")
+        if not made:
+            made.append(materialize(parts(spark, sf).select("row_id", "price", "size", "retail"), "prices"))
+        df = materialize(hash_split(made[0], "row_id", config["seed"]), "parts")
         return df, materialize(neighbors.neighbor_edges(df, max(KS), SearchSpace(["size", "retail"])), "edges")
 
     def evaluate(config, ready):

@@ -40,3 +40,12 @@ def test_a_store_computes_each_text_once_and_reads_the_buckets_in_demand(spark,
     assert row["vector_source"] == "stored" and row["vector"] == next(r["vector"] for r in rows if r["id"] == 5) and any(row["vector"])
     assert growing_store.look_up(docs.filter("id = 5"), root, "other", 16).computed == 1
     assert growing_store.look_up(docs.limit(0), root, "m", 16).rows.count() == 0
+
+
+def test_sweep_sums_its_prices_once(spark, monkeypatch):
+    from cadastre.plans import sweeps
+
+    made = []
+    monkeypatch.setattr(sweeps, "parts", lambda *given, whole=sweeps.parts: made.append(given) or whole(*given))
+    assert sweeps.sweep_runs(spark, "/root/testdata/sf0.001").count() == 12
+    assert len(made) == 1
