@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cadastre import kernels
 from cadastre.functions.numeric import is_finite
+from cadastre.operators.joins import lookup_join
 from cadastre.session import materialize, small_table
 
 EDGES = "query_id bigint, neighbor_id bigint, distance double, rank int"
@@ -88,9 +89,13 @@ def shared_queries(queries: DataFrame) -> DataFrame | None:
 def for_every_query(edges: DataFrame, points: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """Edges of all queries from those of their points, which have a neighbour to spare."""
     near = edges.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id", "distance"))).alias("near"))
-    found = points.join(near, F.col("id") == F.col("query_id")).drop("id", "query_id")
+    spot = F.struct(*_spot(queries)).alias("spot")
+    found = materialize(points.join(near, F.col("id") == F.col("query_id")).select(spot, "near"), "near")
+    width = queries.select(sum([F.size(c) for c in ("vec", "codes") if c in queries.columns], F.lit(0))).head()
+    # the points are looked up: there are at most half as many as queries, which stay where they are where the points fit into memory
+    rows = lookup_join(queries.select("id", spot), found, "spot", "inner", 64 + 32 * (k + 1) + 8 * (width[0] if width else 0))
     others = F.filter("near", lambda e: e["neighbor_id"] != F.col("id")) if exclude_self else F.col("near")
-    rows = queries.join(found, _spot(queries)).select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "e"))
+    rows = rows.select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "e"))
     return rows.select("query_id", "e.neighbor_id", "e.distance", (F.col("at") + 1).alias("rank"))
 
 

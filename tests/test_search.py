@@ -186,3 +186,14 @@ def test_unit_vectors_sum_each_norm_once(spark):
     row = df.select(unit_vector("v", "query").alias("u")).agg(F.sum(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)), F.min(F.size("u"))).first()
     assert abs(row[0] - 40) < 1e-9 and row[1] == 3002
     assert time.time() - start < 15
+
+
+def test_queries_that_share_points_stay_spread(spark):
+    """The few points are looked up by the many queries, which no broadcast gathers and no single task answers."""
+    x = np.repeat(np.arange(60.0), 50)[:, None] * [1.0, 0.5]
+    df = points(spark, x, parts=8)
+    edges = knn_join(df, df, 3, limits=TINY)
+    assert edges.rdd.getNumPartitions() > 1
+    near = found(edges)
+    for i in (0, 1, 49, 50, 2999):
+        assert near[i] == [j for j in range(i // 50 * 50, i // 50 * 50 + 4) if j != i][:3]
