@@ -117,14 +117,37 @@ def _neighbors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return row[meet], at[meet], ids[meet], ids[meet + 1]
 
 
+def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both ids of all adjacent occurrences of a batch; beside them only marks of one byte an occurrence are held."""
+    lists, ids = batch.column("at"), batch.column("id").flatten().to_numpy()
+    at = lists.flatten().to_numpy()
+    meet = at[1:] - at[:-1] == 1
+    ends = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+    meet[ends[(ends > 0) & (ends < len(at))] - 1] = False
+    return ids[:-1][meet], ids[1:][meet]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(left, right, n) of adjacent occurrences, combined by batch."""
+    """(left, right, n) of adjacent occurrences, combined by batch: ids below 2^31 are sorted as one number a pair, in place."""
     for batch in batches:
-        _, _, left, right = _neighbors(batch)
-        one, left = np.unique(left, return_inverse=True)
-        other, right = np.unique(right, return_inverse=True)
-        keys, n = np.unique(left * len(other) + right, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(one[keys // len(other)] if len(keys) else one), pa.array(other[keys % len(other)] if len(keys) else other), pa.array(n.astype(np.int64))], ["left", "right", "n"])
+        left, right = _adjacent(batch)
+        if len(left) and max(left.max(), right.max()) >= 1 << 31:
+            one, left = np.unique(left, return_inverse=True)
+            other, right = np.unique(right, return_inverse=True)
+            keys, n = np.unique(left * len(other) + right, return_counts=True)
+            left, right = one[keys // len(other)], other[keys % len(other)]
+        else:
+            left <<= 32
+            left |= right
+            keys = left
+            del right
+            keys.sort()
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            n, keys = np.diff(starts, append=len(keys)), keys[starts]
+            left, right = keys >> 32, keys & ((1 << 32) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], ["left", "right", "n"])
+        del batch, left, right, keys, n
+        pa.default_memory_pool().release_unused()
 
 
 def _extended(known) -> callable:

@@ -67,3 +67,27 @@ def test_scores_pass_64_bits(spark):
 
     row = spark.createDataFrame([(3 * 10**12, 10**13, 7 * 10**12, 5 * 10**12)], "f long, n long, l long, r long")
     assert row.select(collocations._score(F.col("l"), F.col("r"))).head()[0] == 1000 * 3 * 10**12 * 10**13 // (35 * 10**24)
+
+
+def test_pairs_of_a_batch_take_little_memory():
+    """Counting a batch's pairs holds a few numbers an occurrence; ids above 31 bits give the same pairs."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cadastre.llm import collocations
+
+    size = 400_000
+    at, ids = np.tile(np.arange(100, dtype=np.int32), size // 100), np.random.default_rng(1).integers(0, 900, size)
+    offsets = pa.array(np.arange(0, size + 1, 100, dtype=np.int32))
+    batch = lambda add: pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(ids + add))], ["at", "id"])
+    given = batch(0)
+    tracemalloc.start()
+    (few,) = collocations._pairs(iter([given]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * 8 * size
+    (many,) = collocations._pairs(iter([batch(1 << 33)]))
+    rows = lambda b, less: sorted(zip((b["left"].to_numpy() - less).tolist(), (b["right"].to_numpy() - less).tolist(), b["n"].to_pylist()))
+    assert rows(few, 0) == rows(many, 1 << 33) and sum(few["n"].to_pylist()) == size - size // 100
