@@ -28,6 +28,7 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 PLAIN = bytes.maketrans(UPPER.encode() + BREAKS, LOWER.encode() + b"\n" * len(BREAKS))
 ENTRIES = 300_000  # words that a task counts before it sends them on
 TOKENS = 1 << 20  # in one batch of a relation
+JOINED = 1 << 18  # occurrences that a task joins with the frequent pairs at a time
 RELATION = "at array<int>, id array<bigint>"
 HELD = 64  # bytes of a frequent word or phrase in a task, besides its text
 
@@ -108,6 +109,14 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array(np.frombuffer(spots, np.int32)[k : k + TOKENS]), some], ["row", "at", "key"])
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` occurrences; a longer text is a slice by itself."""
+    part = np.cumsum(batch.column("at").value_lengths().to_numpy()) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, stop in zip(starts, np.append(starts[1:], batch.num_rows)):
+        yield batch.slice(start, stop - start)
+
+
 def _neighbors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Number of the text, position, and both ids of all adjacent occurrences of a batch."""
     lists, ids = batch.column("at"), batch.column("id").flatten().to_numpy()
@@ -160,7 +169,7 @@ def _extended(known) -> callable:
         rank = np.repeat(np.arange(len(heads)), np.diff(np.append(starts, len(lefts))))
         ends, place = np.unique(rights, return_inverse=True)
         keys = rank * len(ends) + place
-        for batch in batches:
+        for batch in (some for whole in batches for some in _slices(whole, JOINED)):
             row, at, left, right = _neighbors(batch)
             a, b = np.minimum(np.searchsorted(heads, left), len(heads) - 1), np.minimum(np.searchsorted(ends, right), len(ends) - 1)
             key = a * len(ends) + b

@@ -91,3 +91,28 @@ def test_pairs_of_a_batch_take_little_memory():
     (many,) = collocations._pairs(iter([batch(1 << 33)]))
     rows = lambda b, less: sorted(zip((b["left"].to_numpy() - less).tolist(), (b["right"].to_numpy() - less).tolist(), b["n"].to_pylist()))
     assert rows(few, 0) == rows(many, 1 << 33) and sum(few["n"].to_pylist()) == size - size // 100
+
+
+def test_extending_a_batch_takes_little_memory():
+    """Joining a batch with the frequent pairs holds some slices of it; the relation is the same as that of texts joined one by one."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    size, each = 3_000_000, 300
+    at, ids = np.tile(np.arange(each, dtype=np.int32), size // each), np.random.default_rng(2).integers(0, 40, size)
+    offsets = pa.array(np.arange(0, size + 1, each, dtype=np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["at", "id"])
+    left, right = np.divmod(np.arange(0, 1600, 2), 40)
+    extend = collocations._extended(SimpleNamespace(value=(left, right, np.arange(800) + 7)))
+    tracemalloc.start()
+    found = list(extend(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * size
+    relation = pa.Table.from_batches(found)
+    alone = pa.Table.from_batches(list(extend(batch.slice(k, 1) for k in range(0, batch.num_rows, 50))))
+    rows = list(zip(relation["at"].to_pylist(), relation["id"].to_pylist()))
+    assert len(rows) == batch.num_rows and rows[::50] == list(zip(alone["at"].to_pylist(), alone["id"].to_pylist()))
