@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from cadastre.llm.text import table
-from cadastre.session import materialize
+from cadastre.session import arrow_rows, materialize
 
 SLICE = 4 << 20  # bytes of text encoded at a time; a longer text is encoded by itself
+TEXTS = 1_000  # texts, or the ids of so many, in one batch
 LONG = 200  # characters from which on a chunk goes through the whole tokenizer
 ODD = r"[^\x21-\x7e\x{c0}-\x{ff}]|<[|]"  # what a chunk must not hold to go to the merges directly
 
@@ -125,7 +126,8 @@ def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     texts longer than a window are cut as often as needed; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    stored = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id), "tokens")
+    with arrow_rows(spark, TEXTS):
+        stored = materialize(tokenize(docs, tokenizer, id_col, text_col, end_id), "tokens")
     totals = stored.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).orderBy("part").collect()  # one row per partition
     starts, run = {}, 0
     for row in totals:
@@ -135,7 +137,7 @@ def concatenate_and_cut(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     content = "ids_crc32 bigint" if digest else "ids array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             lists = batch.column(1)
             limits = lists.offsets.to_numpy()
             values = lists.values.to_numpy()
