@@ -6,7 +6,7 @@ import corpus_pipeline
 import pyarrow as pa
 
 from cadastre import session
-from cadastre.llm import packing
+from cadastre.llm import packing, set_join
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -57,3 +57,18 @@ def test_cutting_passages_runs_in_one_set_of_workers(spark):
     rows = {r["doc_id"]: r for r in cut.collect()}
     assert set(rows) == {0, 1, 2, 4, 5} and rows[0]["text"] == texts[0] and rows[4]["text"] is None
     assert len(rows[1]["text"].split()) == 20 and rows[1]["n_chars"] == len(rows[1]["text"])
+
+
+def test_whole_sets_of_texts_reach_python_in_small_batches(spark, monkeypatch):
+    draw, seen, write = random.Random(6), {}, set_join.materialize
+    texts = [" ".join(f"w{draw.randrange(3)}" for _ in range(12)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+
+    def materialize(df, label):
+        seen.setdefault(label, set()).add(spark.conf.get(ROWS))
+        return write(df, label)
+
+    monkeypatch.setattr(set_join, "materialize", materialize)
+    rows = {r["doc_id"]: r["component_id"] for r in set_join.jaccard_components(docs, "doc_id", "text", width=4, percent=85).collect()}
+    assert all(rows[300 + i] == rows[i] for i in range(20))
+    assert all(seen[label] == {str(set_join.TEXTS)} for label in ("sets", "whole", "links", "poor-tokens"))
