@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastre.llm.text import crc_fold, table
+from cadastre.llm.text import crc_fold, each_value, table
 from cadastre.session import materialize
 
 LONGEST = 5
@@ -73,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each batch."""
     for batch in batches:
         found: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(batch.column(0).to_pylist(), each_value(batch.column(1))):
             found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         rows = [(lang, w, n) for lang, counts in found.items() for w, n in counts.items()]
         yield pa.RecordBatch.from_arrays(
@@ -183,7 +183,7 @@ def language_of(model: LanguageModel, spark) -> callable:
         known, (others, values) = fitted.rows[0], fitted.memory()
         for part in parts:
             names, scores = [], []
-            for text in part.to_pylist():
+            for text in each_value(part):
                 found = LETTERS.findall(text.lower()) if text and width else []
                 if not has_letter(found):
                     names.append("und")

@@ -72,3 +72,19 @@ def test_whole_sets_of_texts_reach_python_in_small_batches(spark, monkeypatch):
     rows = {r["doc_id"]: r["component_id"] for r in set_join.jaccard_components(docs, "doc_id", "text", width=4, percent=85).collect()}
     assert all(rows[300 + i] == rows[i] for i in range(20))
     assert all(seen[label] == {str(set_join.TEXTS)} for label in ("sets", "whole", "links", "poor-tokens"))
+
+
+def test_a_batch_of_texts_is_read_a_few_at_a_time():
+    import tracemalloc
+
+    from cadastre.llm import language, text
+
+    texts = [f"{i} " + "word " * 400 if i % 9 else None for i in range(5000)]
+    assert list(text.each_value(pa.array(["gone", *texts]).slice(1))) == texts
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa"] * len(texts)), pa.array([t or "" for t in texts])], ["lang", "text"])
+    del texts
+    tracemalloc.start()
+    (found,) = language._count(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < batch.nbytes // 2 and dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))["word"] == 400 * (5000 - 556)
