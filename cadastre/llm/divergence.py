@@ -27,7 +27,7 @@ from cadastre.session import materialize
 
 LETTERS = (UPPER + LOWER).encode()
 PLAIN = bytes(ord(chr(c).lower()) if c in LETTERS else c if c > 0x7F else 0x20 for c in range(256))  # what no term holds is a blank
-ENTRIES = 300_000  # terms that a task counts before it sends them on
+ENTRIES = 1_000_000  # terms that a task counts before it sends them on: some 200 MB
 SCALE = 1_000_000_000
 ROWS, COLS = 32, 4096  # powers of two
 CHUNK = 4096  # counts of a histogram in one row
@@ -148,10 +148,13 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col))
     words = docs.select(lang.alias("lang"), source.alias("source"), F.col(text_col).alias("text")).mapInArrow(_counted, "lang string, source string, term string, count bigint, docs bigint")
-    cells = materialize(words.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "cells")
-    sums = cells.groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("docs").alias("docs"), F.count("*").alias("holders"), F.min("source").alias("lead"))
-    sums = sums.filter(F.col("docs") >= least_docs).drop("docs")
-    columns, width = numbered(sums, ["lang", F.desc("holders"), "lead", "term"], "col", "terms")
+    # tasks send a term once, so nothing is gained by combining rows before they are dealt; groups of a term arrive side by side, which gives its sums too
+    cells = words.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    over = Window.partitionBy("lang", "term")
+    sums = {"all": F.sum("count"), "docs": F.sum("docs"), "holders": F.count("*"), "lead": F.min("source")}
+    cells = materialize(cells.select("lang", "source", "term", "count", *[f.over(over).alias(n) for n, f in sums.items()]).filter(F.col("docs") >= least_docs).drop("docs"), "cells")
+    terms = cells.filter("source = lead").select("lang", "term", "all", "holders", "lead")
+    columns, width = numbered(terms, ["lang", F.desc("holders"), "lead", "term"], "col", "terms")
     columns = materialize(columns.drop("holders", "lead"), "columns")
     langs = columns.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total"))
     counted = materialize(cells.select("lang", "source", "term", "count").join(columns, ["lang", "term"]), "counted")

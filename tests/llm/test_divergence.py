@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from cadastre.llm import divergence, numbering
@@ -75,3 +76,11 @@ def test_rows_are_numbered_in_order(spark):
     got, n = numbering.numbered(rows, ["x"], "k", "test")
     assert n == 1000 and all(r["k"] == r["x"] for r in got.collect())
     assert numbering.numbered(rows.limit(0), ["x"], "k", "test")[1] == 0
+
+
+def test_a_task_sends_each_of_many_terms_once():
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = [" ".join(map(word, range(k, k + 2_000))) for k in range(0, 400_000, 2_000)] * 2
+    batch = pa.RecordBatch.from_pydict({"lang": ["aa"] * len(texts), "source": ["s"] * len(texts), "text": texts})
+    sent = pa.Table.from_batches(list(divergence._counted(iter([batch]))))
+    assert sent.num_rows == 400_000 and set(sent["count"].to_pylist()) == set(sent["docs"].to_pylist()) == {2}
