@@ -88,3 +88,16 @@ def test_a_batch_of_texts_is_read_a_few_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < batch.nbytes // 2 and dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))["word"] == 400 * (5000 - 556)
+
+
+def test_languages_are_told_from_small_batches(spark, monkeypatch):
+    seen, write = {}, corpus_pipeline.materialize
+
+    def materialize(df, label):
+        seen[label] = spark.conf.get(ROWS)
+        return write(df, label)
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", materialize)
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("una mala lana", "aa"), ("qixy zuwo joxy", "bb")] * 20)] + [(90, None, "aa")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert seen["known"] == "1000" and kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
