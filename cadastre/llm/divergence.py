@@ -27,7 +27,7 @@ from cadastre.session import materialize
 
 LETTERS = (UPPER + LOWER).encode()
 PLAIN = bytes(ord(chr(c).lower()) if c in LETTERS else c if c > 0x7F else 0x20 for c in range(256))  # what no term holds is a blank
-ENTRIES = 1_000_000  # terms that a task counts before it sends them on: some 200 MB
+ENTRIES = 1_000_000  # terms that a task counts before it sends them on: some 130 MB
 SCALE = 1_000_000_000
 ROWS, COLS = 32, 4096  # powers of two
 CHUNK = 4096  # counts of a histogram in one row
@@ -148,7 +148,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     lang, source = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col))
     words = docs.select(lang.alias("lang"), source.alias("source"), F.col(text_col).alias("text")).mapInArrow(_counted, "lang string, source string, term string, count bigint, docs bigint")
-    # tasks send a term once, so nothing is gained by combining rows before they are dealt; groups of a term arrive side by side, which gives its sums too
+    # most tasks send a term once, so little is gained by combining rows before they are dealt; groups of a term arrive side by side, which gives its sums too
     cells = words.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     over = Window.partitionBy("lang", "term")
     sums = {"all": F.sum("count"), "docs": F.sum("docs"), "holders": F.count("*"), "lead": F.min("source")}
