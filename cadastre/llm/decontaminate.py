@@ -4,20 +4,27 @@ A mask names the positions of a short window that count; the others may hold any
 every benchmark item and of every document is hashed under each mask, and equal hashes give hits. A hit fixes
 how item and document line up; the words are then compared along that line. A document is
 contaminated by an item when some stretch of 13 words (the whole item, if shorter) agrees in 80 % of its
-positions. Documents are read once and never shuffled: the item side is broadcast behind a check of its size.
+positions. Seeds of a benchmark that fits are broadcast as places, each item's words once beside them, and documents are read
+once and never shuffled. Those of a larger benchmark are broadcast as a Bloom filter of bounded size: what passes is joined by seed as a place,
+and only documents with a hit are read again, their words shuffled once each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.llm.text import indexes, table
+from cadastre.session import materialize
 
 #: 1: the word counts. Each leaves out a residue of its positions, so words replaced at every third, fourth or fifth place are met by one.
 MASKS = ("111011", "1101101", "1100111")
 STRETCH, PERCENT = 13, 80
-BROADCAST_WORDS = 1_000_000  # words of the benchmark up to which its seeds (3 a word, some 24 bytes each) are broadcast
+BROADCAST_WORDS = 1_000_000  # words of the benchmark up to which its seeds are broadcast, if they also keep to BROADCAST_BYTES
+BROADCAST_BYTES, SEED_BYTES = 32 << 20, 100  # of all seeds (one a mask and word), and of one with its place
+SIEVE_BITS, SIEVE_BLOCKS = 16, 1 << 18  # bits a value in a filter, and blocks of 512 bits (some 100 bytes in a broadcast) at most
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -36,14 +43,65 @@ def _seeds(hashes: Column, at: Column) -> Column:
     return F.array(*[seed(k, m) for k, m in enumerate(MASKS)])
 
 
-def _hashed(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    words = df.select(F.col(id_col).alias(key), plain_words(F.col(text_col)).alias("words"))
-    return words.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+def _words_hashed(df: DataFrame) -> DataFrame:
+    """(key, text) -> (key, hashes)."""
+    words = df.select("key", plain_words(F.col("text")).alias("words"))
+    return words.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _windows(df: DataFrame) -> DataFrame:
     placed = df.select("*", F.explode(indexes(F.size("hashes"))).alias("at"))
-    return placed.select("*", F.explode(_seeds(F.col("hashes"), F.col("at"))).alias("seed")).filter("seed is not null")
+    return placed.select("*", F.posexplode(_seeds(F.col("hashes"), F.col("at"))).alias("mask", "seed")).filter("seed is not null")
+
+
+def _starts_line() -> Column:
+    """Whether no other mask meets one place earlier on the line of a hit, and none before its own meets there: else another hit has the line."""
+
+    def meets(mask: str, back: int) -> Column:
+        same = [F.get("hashes", F.col("at") + o - back) == F.get("theirs", F.col("item_at") + o - back) for o, c in enumerate(mask) if c == "1"]
+        ends = [at + len(mask) - back <= F.size(x) for x, at in (("hashes", F.col("at")), ("theirs", F.col("item_at")))]
+        return reduce(Column.__and__, [*ends, *same])
+
+    before = reduce(Column.__or__, [meets(m, 1) for m in MASKS])
+    other = reduce(Column.__or__, [(F.col("mask") > k) & meets(m, 0) for k, m in enumerate(MASKS[:-1])])
+    return ~((F.col("at") > 0) & (F.col("item_at") > 0) & before | other)
+
+
+def _bits(value: str) -> list[tuple[str, str]]:
+    """(word, bit in it) of the three bits that a 64-bit hash sets in its block of eight words."""
+    return [(f"cast(shiftrightunsigned({value}, {at}) & 7 as int)", f"shiftleft(1L, cast(shiftrightunsigned({value}, {at + 3}) & 63 as int))") for at in (20, 29, 38)]
+
+
+def _sifted(df: DataFrame, value: str, wanted: DataFrame, most: int) -> DataFrame:
+    """Rows of `df` whose hash `value` is among the at most `most` ones of `wanted`, and a few others: a blocked Bloom filter, broadcast."""
+    blocks = 1
+    while blocks * 512 < most * SIEVE_BITS and blocks < SIEVE_BLOCKS:
+        blocks *= 2
+    block = f"{{}} & {blocks - 1}L"
+    words = [F.bit_or(F.expr(" | ".join(f"if({word} = {k}, {bit}, 0L)" for word, bit in _bits("value")))) for k in range(8)]
+    sieve = wanted.toDF("value").groupBy(F.expr(block.format("value")).alias("block")).agg(F.array(*words).alias("bits"))
+    there = " and ".join(f"get(bits, {word}) & {bit} != 0" for word, bit in _bits(value))
+    return df.join(F.broadcast(sieve), F.expr(f"({block.format(value)}) = block and {there}"), "left_semi")
+
+
+def _lines_of_few(hashed: DataFrame, seeds: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, hashes, theirs, row, shift) of every line with a hit; all of the benchmark is broadcast."""
+    places = seeds.groupBy("seed").agg(F.collect_list(F.struct("row", "item_at")).alias("found"))
+    hits = _windows(hashed).join(F.broadcast(places), "seed").select("key", "hashes", "at", "mask", F.explode("found").alias("f"))
+    lines = hits.select("key", "hashes", "at", "mask", "f.*").join(F.broadcast(texts), "row").filter(_starts_line())
+    return lines.select("key", "hashes", "theirs", "row", (F.col("at") - F.col("item_at")).alias("shift"))
+
+
+def _lines_of_many(docs: DataFrame, hashed: DataFrame, seeds: DataFrame, texts: DataFrame, n_seeds: int) -> DataFrame:
+    """(key, hashes, theirs, row, shift) of every line with a hit; a document is known by its key and a hash of its words."""
+    print_ = F.xxhash64("hashes").alias("print")
+    seeds = materialize(seeds, "seeds")
+    placed = _windows(hashed.select("key", print_, "hashes")).select("key", "print", "at", "seed")
+    hits = _sifted(placed, "seed", seeds.select("seed"), n_seeds).join(seeds.hint("merge"), "seed")
+    lines = materialize(hits.select("key", "print", "row", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "lines")
+    again = _sifted(docs.withColumn("name", F.xxhash64("key")), "name", lines.select(F.xxhash64("key")), lines.count())
+    again = _words_hashed(again).select(F.col("key").alias("k"), print_.alias("p"), "hashes")
+    return lines.join(texts, "row").join(again.hint("merge"), F.expr("key <=> k and print = p")).select("key", "hashes", "theirs", "row", "shift")
 
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -52,24 +110,27 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     NULL and empty texts meet nothing; items under 6 words are too short for a seed and find nothing. Rows with one id are judged
     together; a NULL id is an id like any other. An empty benchmark or table gives no rows.
     """
-    items = _hashed(benchmark, item_col, item_text, "item")
-    n_words = items.agg(F.sum(F.size("hashes"))).head()[0] or 0
-    seeds = _windows(items).select("seed", "item", F.col("at").alias("item_at"), F.col("hashes").alias("theirs"))
-    if n_words <= BROADCAST_WORDS:  # else Spark joins by its own sizes
-        seeds = F.broadcast(seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_at", "theirs")).alias("found")))
+    items = _words_hashed(benchmark.select(F.col(item_col).alias("key"), F.col(item_text).alias("text"))).filter(F.size("hashes") > 0).distinct()
+    items = materialize(items.groupBy(F.col("hashes").alias("theirs")).agg(F.collect_set(F.struct("key")).alias("items")).withColumn("row", F.monotonically_increasing_id()), "items")  # items with the same words are judged once
+    n_seeds = len(MASKS) * (items.agg(F.sum(F.size("theirs"))).head()[0] or 0)
+    texts = items.select("row", "theirs")
+    seeds = _windows(texts.withColumnRenamed("theirs", "hashes")).select("seed", "row", F.col("at").alias("item_at"))
+    docs = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    hashed = _words_hashed(docs)
+    if n_seeds <= len(MASKS) * BROADCAST_WORDS and n_seeds * SEED_BYTES <= BROADCAST_BYTES:
+        line = _lines_of_few(hashed, seeds, texts)
     else:
-        seeds = seeds.groupBy("seed").agg(F.collect_list(F.struct("item", "item_at", "theirs")).alias("found"))
-    hits = _windows(_hashed(docs, id_col, text_col, "key")).join(seeds, "seed")
-    hits = hits.select("key", "hashes", "at", F.explode("found").alias("f"))
-    line = hits.select("key", "hashes", F.col("f.item").alias("item"), F.col("f.theirs").alias("theirs"), (F.col("at") - F.col("f.item_at")).alias("shift"))
+        line = _lines_of_many(docs, hashed, seeds, texts, n_seeds)
     agree = F.transform("theirs", lambda x, k: F.when((k + F.col("shift") >= 0) & (F.get(F.col("hashes"), k + F.col("shift")) == x), 1).otherwise(0))
-    line = line.select("key", "item", F.size("theirs").alias("item_words"), agree.alias("agree"))
-    line = line.withColumn("matched", F.aggregate("agree", F.lit(0), lambda a, x: a + x)).withColumn("span", F.least(F.lit(STRETCH), F.col("item_words")))
-    line = line.filter(F.col("matched") * 100 >= F.col("span") * PERCENT)
-    stretch = lambda i: F.aggregate(F.slice("agree", i + 1, F.col("span")), F.lit(0), lambda a, x: a + x)
-    line = line.withColumn("best", F.array_max(F.transform(indexes(F.col("item_words") - F.col("span") + 1), stretch)))
+    span, total = F.least(F.lit(STRETCH), F.size("theirs")), lambda flags: F.aggregate(flags, F.lit(0), lambda a, x: a + x)
+    best = lambda flags: F.array_max(F.transform(indexes(F.size(flags) - span + 1), lambda i: total(F.slice(flags, i + 1, span))))
+    # bound by a lambda and exploded, or the optimizer has the flags computed anew for each place and before any cheaper filter
+    judged = F.transform(F.array(agree), lambda flags: F.struct(total(flags).alias("matched"), F.when(total(flags) * 100 >= span * PERCENT, best(flags)).alias("best")))
+    line = line.select("key", "row", F.size("theirs").alias("item_words"), span.alias("span"), F.explode(judged).alias("j")).select("key", "row", "item_words", "span", "j.*")
     found = line.filter(F.col("best") * 100 >= F.col("span") * PERCENT)
-    out = found.groupBy("key", "item").agg(*[F.max(c).cast("long").alias(n) for c, n in (("item_words", "item_words"), ("matched", "matched_words"), ("best", "best_stretch"))])
+    found = found.groupBy("key", "row").agg(*[F.max(c).cast("long").alias(n) for c, n in (("item_words", "item_words"), ("matched", "matched_words"), ("best", "best_stretch"))])
+    named = found.join(items.select("row", F.explode("items").alias("i")), "row").select("key", F.col("i.key").alias("item"), "item_words", "matched_words", "best_stretch")
+    out = named.groupBy("key", "item").agg(*[F.max(c).alias(c) for c in ("item_words", "matched_words", "best_stretch")])
     return out.withColumnsRenamed({"key": id_col, "item": item_col})
 
 
